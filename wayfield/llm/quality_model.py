@@ -88,7 +88,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, times = np.unique(code[at[k] : at[k + 1]], return_counts=True)
             index.append(np.concatenate([ids, own[k]]).astype(np.int32).tobytes())
             value.append(np.concatenate([times * (SCALE / max(1, times.sum())), np.ones(4)]).astype(np.float32).tobytes())
-        yield pa.record_batch([batch.column("doc_id"), batch.column("grade"), pa.array(index, pa.binary()), pa.array(value, pa.binary())], names=["doc_id", "grade", "index", "value"])
+        yield pa.record_batch([batch.column("doc_id"), batch.column("grade"), pa.array(index, pa.binary()), pa.array(value, pa.binary())], names=["doc_id", "grade", "feature", "value"])
 
 
 def fit_arrays(rows: list[tuple[int, np.ndarray, np.ndarray]], grades: int = GRADES) -> Model | None:
@@ -131,9 +131,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
     grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).otherwise(2)
     rated = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy("doc_id").agg(F.max(grade).alias("grade"))
     chosen = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(_features, "doc_id long, grade int, index binary, value binary").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.index))
-    return fit_arrays([(r.grade, np.frombuffer(r.index, np.int32), np.frombuffer(r.value, np.float32)) for r in rows])
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(_features, "doc_id long, grade int, feature binary, value binary").collect()
+    rows.sort(key=lambda r: (r.doc_id, r.feature))
+    return fit_arrays([(r.grade, np.frombuffer(r.feature, np.int32), np.frombuffer(r.value, np.float32)) for r in rows])
 
 
 def score_batch(model: Model, texts: pa.Array) -> np.ndarray:
