@@ -18,8 +18,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from . import flat
 from .pretoken import split, unique_spans
@@ -157,7 +157,7 @@ def encode(docs: DataFrame, path: str = VOCABULARY, check: bool = False, name: s
     tune(docs.sparkSession)
     vocabulary = docs.sparkSession.sparkContext.broadcast(load(path))
     names = [c for c in docs.columns if c != "text"]
-    schema = docs.select(*[F.col(f"`{c}`") for c in names]).schema.add(name, "array<int>")
+    schema = T.StructType([f for f in docs.schema.fields if f.name != "text"]).add(name, T.ArrayType(T.IntegerType()))
     schema = schema.add("round_trip", "boolean") if check else schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +183,7 @@ def decode(df: DataFrame, path: str = VOCABULARY, tokens: str = "tokens", name:
     """df with the text of its token lists; bytes that aren't UTF-8 by themselves become replacement characters."""
     tune(df.sparkSession)
     vocabulary = df.sparkSession.sparkContext.broadcast(load(path))
-    schema = df.drop(name).schema.add(name, "string")
+    schema = T.StructType([f for f in df.schema.fields if f.name != name]).add(name, "string")
     names = [c for c in df.columns if c != name]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,10 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import near, quality_model
+from . import bpe, exact, mixing, near, quality_model
 from .shared import table
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of each document, and whether they decode to its bytes."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.encode(docs, check=True).select("doc_id", F.size("tokens").alias("n_tokens"), "tokens", "round_trip")
+
+
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that stay, and how many have their text."""
+    return exact.kept_with_copies(table(spark, sf_dir, "documents"))
+
+
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The schedule: slots with their source, block, and the pieces of documents in it."""
+    return mixing.schedule(table(spark, sf_dir, "documents"))
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of documents of word-bigram Jaccard 0.6 or more."""
     return near.jaccard_join(table(spark, sf_dir, "documents"))
@@ -24,11 +40,42 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_bpe": op2_bpe,
+    "op6_exact_dedup": op6_exact_dedup,
+    "op7_source_mixing": op7_source_mixing,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_quality_classifier": op10_quality_classifier,
 }
 
 SQL: dict[str, str] = {
+    "op6_exact_dedup": """
+SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY text
+UNION ALL SELECT doc_id, 1 FROM documents WHERE text IS NULL""",
+    "op7_source_mixing": r"""
+WITH counted AS (
+  SELECT doc_id, coalesce(source, '') AS source, md5('7|' || coalesce(doc_id::VARCHAR, '~')) AS h,
+    CASE WHEN coalesce(length(text), 0) = 0 THEN 0 ELSE length(text) - length(regexp_replace(text, '[ \n\t\r]', '', 'g')) + 1 END AS n
+  FROM documents),
+placed AS (
+  SELECT *, coalesce(sum(n) OVER (PARTITION BY source ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM counted),
+totals AS (SELECT source, sum(n)::BIGINT AS tokens, power(sum(n)::DOUBLE, 0.8) AS w FROM counted GROUP BY source HAVING sum(n) > 0),
+shares AS (
+  SELECT source, tokens, ((tokens + 4095) // 4096)::BIGINT AS blocks, row_number() OVER (ORDER BY source DESC) AS back,
+    sum(w) OVER (ORDER BY source ROWS UNBOUNDED PRECEDING) / sum(w) OVER () AS up_to FROM totals),
+cuts AS (SELECT source, tokens, blocks, CASE WHEN back = 1 THEN 4294967296 ELSE floor(up_to * 4294967296)::BIGINT END AS high FROM shares),
+bands AS (SELECT *, coalesce(lag(high) OVER (ORDER BY source), 0) AS low FROM cuts),
+points AS (SELECT s AS slot, ((s + 1) * 2654435769) % 4294967296 AS point
+  FROM (SELECT unnest(range((SELECT (max(blocks * 4294967296.0 / greatest(high - low, 1)) * 1.02)::BIGINT + 64 * count(*) + 65 FROM bands))) AS s)),
+drawn AS (SELECT slot, source, blocks, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS k FROM points JOIN bands ON point >= low AND point < high),
+ends AS (SELECT max(slot) AS last FROM drawn WHERE k = blocks - 1),
+slots AS (SELECT slot, source, k % blocks AS block, k // blocks AS epoch FROM drawn, ends WHERE slot <= last),
+laps AS (
+  SELECT p.source, doc_id, n, blocks * 4096 AS size, start + lap * tokens AS first
+  FROM (SELECT *, unnest(range((blocks * 4096 - 1) // tokens + 1)) AS lap FROM bands) b JOIN placed p ON p.source = b.source AND n > 0),
+pieces AS (
+  SELECT source, doc_id, n, first, unnest(range(first // 4096, (least(first + n, size) - 1) // 4096 + 1)) AS block FROM laps WHERE first < size)
+SELECT slot, s.source, s.block, epoch, doc_id, (greatest(s.block * 4096, first) - first)::BIGINT AS from_token, (least((s.block + 1) * 4096, first + n) - first)::BIGINT AS to_token
+FROM slots s JOIN pieces p ON s.source = p.source AND s.block = p.block""",
     "op9_ngram_jaccard_join": r"""
 WITH words AS (
   SELECT doc_id, regexp_extract_all(lower(text), '[^\x00-/:-`{-\x7f]+') AS w FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
