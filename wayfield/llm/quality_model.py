@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import flat
 from .shared import tune
@@ -154,7 +155,8 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
             own = pa.StructArray.from_arrays([pa.array(p @ np.arange(p.shape[1])), pa.array(p[:, 1:].sum(axis=1))], names=["expected_grade", "p_good"])
             yield pa.record_batch([*batch.columns, own], names=[*batch.schema.names, "__rating"])
 
-    return docs.mapInArrow(run, docs.schema.add("__rating", "struct<expected_grade: double, p_good: double>"))
+    rating = T.StructType().add("expected_grade", "double").add("p_good", "double")
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__rating", rating)]))
 
 
 def selected(docs: DataFrame, model: Model | None) -> DataFrame:
