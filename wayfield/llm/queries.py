@@ -7,10 +7,40 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, mixing, near, quality_model
+from . import bloom_lm, bpe, exact, licenses, mixing, near, quality_model, repetition, toxicity, trie
 from .shared import table
 
 
+def op1_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that pass the repetition rule, with what it measured."""
+    docs = repetition.passing(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", F.round("__repeats.covered_fraction", 6).alias("covered_fraction"), "__repeats.longest_repeat", "__repeats.n_repeats")
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pre-tokens, unigram tokens and cost of each document."""
+    return trie.counts(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "__counts.*")
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that the machine finds toxic."""
+    docs = table(spark, sf_dir, "documents")
+    found = toxicity.toxic(docs.select("doc_id", "text"), toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", F.round("__toxic", 6).alias("p_toxic"))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that hold a licence template."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and log2 probability of each document under the corpus's own bigram model."""
+    docs = bloom_lm.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    per_word = F.when(F.col("__lm.n_words") > 0, F.round(F.col("__lm.log2p") / F.col("__lm.n_words"), 6))
+    return docs.select("doc_id", "__lm.n_words", per_word.alias("log2p_per_word"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of each document, and whether they decode to its bytes."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -40,14 +70,20 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_repetition": op1_suffix_repetition,
     "op2_bpe": op2_bpe,
+    "op3_token_counts": op3_token_counts,
+    "op4_toxicity": op4_toxicity,
+    "op5_license_scan": op5_license_scan,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_source_mixing": op7_source_mixing,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_quality_classifier": op10_quality_classifier,
 }
 
 SQL: dict[str, str] = {
+    "op5_license_scan": licenses.sql(),
     "op6_exact_dedup": """
 SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY text
 UNION ALL SELECT doc_id, 1 FROM documents WHERE text IS NULL""",
