@@ -31,9 +31,10 @@ from . import flat
 from .shared import small, tune, written
 
 N, THRESHOLD = 2, 0.6
-#: An n-gram in so many sets' prefixes is frequent; this only changes the order, never the result.
-FREQUENT, FREQUENT_KEYS = 100, 1_000_000
-SLAB = 4_000_000
+#: An n-gram in so many sets is frequent; this only changes the order, never the result.
+FREQUENT, FREQUENT_KEYS = 20, 1_000_000
+#: Pairs of list entries, or keys, that one step of a worker holds; and sets of one block of the check.
+SLAB, BLOCK = 1_000_000, 1000
 _HEAVY = np.uint64(1 << 63)
 
 
@@ -42,7 +43,35 @@ def least_overlap(sa, sb, t: float):
     return np.ceil(t / (1 + t) * (sa + sb) - 1e-9)
 
 
-def keys_of(batch: pa.RecordBatch, n: int, frequent: np.ndarray) -> list[np.ndarray]:
+class Frequent:
+    """The frequent n-grams: their keys, those that put them last (by how frequent they are), and where their lists are kept."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, homes: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, counts = keys[order], counts[order]
+        rank = np.minimum(np.log2(np.maximum(counts, 1)) * 2, 63).astype(np.uint64)
+        self.late = _HEAVY | rank << np.uint64(57) | (self.keys & np.uint64((1 << 57) - 1))
+        by = np.argsort(self.late)
+        self.sorted_late, self.homes = self.late[by], homes[order][by]
+
+    def moved(self, keys: np.ndarray) -> np.ndarray:
+        if len(self.keys) and len(keys):
+            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            keys = np.where(self.keys[at] == keys, self.late[at], keys)
+        return keys
+
+    def buckets(self, keys: np.ndarray, mixed: np.ndarray, buckets: int) -> np.ndarray:
+        out = (mixed % np.uint64(buckets)).astype(np.int32)
+        late = np.flatnonzero(keys >= _HEAVY)
+        if len(late):
+            out[late] = self.homes[np.searchsorted(self.sorted_late, keys[late])] % buckets
+        return out
+
+
+NO_FREQUENT = Frequent(np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))
+
+
+def keys_of(batch: pa.RecordBatch, n: int, frequent: Frequent) -> list[np.ndarray]:
     """The sorted distinct keys of each document; a key's order is its place in the global order."""
     data, offsets = flat.flat(batch.column("text"))
     starts, ends, first = flat.words(data, offsets)
@@ -54,8 +83,7 @@ def keys_of(batch: pa.RecordBatch, n: int, frequent: np.ndarray) -> list[np.ndar
     long = sum(np.where(left > k, length[k : k + len(starts)], 0) for k in range(n)) if len(starts) else np.empty(0, np.int64)
     long = long[(left >= n) | ((count < n)[doc] & (np.arange(len(starts)) == first[:-1][doc]))]
     keys = ((63 - np.minimum(long, 63)).astype(np.uint64) << np.uint64(57)) | (grams >> np.uint64(7))
-    if len(frequent) and len(keys):
-        keys[frequent[np.minimum(np.searchsorted(frequent, keys), len(frequent) - 1)] == keys] |= _HEAVY
+    keys = frequent.moved(keys)
     out = []
     for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
         own = np.sort(keys[a:b])
@@ -67,73 +95,103 @@ def prefix(size: int, t: float) -> int:
     return size - math.ceil(t * size - 1e-9) + 1
 
 
-def _survey(n: int, t: float):
-    """Rows (doc_id, signature, size) of documents and (key, n) of n-grams that recur in this task's prefixes."""
+def _survey(n: int):
+    """Rows (doc_id, signature, size) of documents and (key, n, low) of n-grams that recur in this task; low: the least hash of a document that has it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
+        owner: list[np.ndarray] = []
         total = 0
+        names = ["doc_id", "sig", "size", "key", "n", "low"]
 
         def recurring() -> pa.RecordBatch:
-            keys, times = np.unique(np.concatenate(held), return_counts=True)
-            keys, times = keys[times >= 3], times[times >= 3]
+            keys, low = np.concatenate(held), np.concatenate(owner)
+            order = np.argsort(keys, kind="stable")
+            keys, low = keys[order], low[order]
+            at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            times, low, keys = np.diff(np.append(at, len(keys))), np.minimum.reduceat(low, at), keys[at]
+            keys, low, times = (x[times >= 3] for x in (keys, low, times))
             nil = pa.nulls(len(keys))
-            return pa.record_batch([nil.cast(pa.int64()), nil.cast(pa.binary()), nil.cast(pa.int32()), pa.array(keys.view(np.int64)), pa.array(times)], names=["doc_id", "sig", "size", "key", "n"])
+            return pa.record_batch([nil.cast(pa.int64()), nil.cast(pa.binary()), nil.cast(pa.int32()), pa.array(keys.view(np.int64)), pa.array(times), pa.array(low)], names=names)
 
         for batch in flat.chunks(batches):
-            sets = keys_of(batch, n, np.empty(0, np.uint64))
+            sets = keys_of(batch, n, NO_FREQUENT)
             sizes = np.array([len(s) for s in sets], np.int32)
             at = np.concatenate([[0], np.cumsum(sizes)])
             both = [flat.mix(np.concatenate(sets) ^ np.uint64(salt)) for salt in (0, 0xA5A5A5A55A5A5A5A)]
             sums = [np.concatenate([[np.uint64(0)], np.cumsum(x, dtype=np.uint64)]) for x in both]
             sig = np.stack([s[at[1:]] - s[at[:-1]] for s in sums], axis=1)
             nil = pa.nulls(len(sets), pa.int64())
-            yield pa.record_batch([batch.column("doc_id"), pa.array([r.tobytes() for r in sig], pa.binary()), pa.array(sizes), nil, nil], names=["doc_id", "sig", "size", "key", "n"])
-            for s in sets:
+            yield pa.record_batch([batch.column("doc_id"), pa.array([r.tobytes() for r in sig], pa.binary()), pa.array(sizes), nil, nil, nil], names=names)
+            low = (flat.mix(np.asarray(batch.column("doc_id")).view(np.uint64)) >> np.uint64(2)).view(np.int64)
+            for s, d in zip(sets, low):
                 if len(s):
-                    held.append(s[: prefix(len(s), t)])
+                    held.append(s)
+                    owner.append(np.full(len(held[-1]), d))
                     total += len(held[-1])
-            if total > 4 * SLAB:
+            if total > 2 * SLAB:
                 yield recurring()
-                held, total = [], 0
+                held, owner, total = [], [], 0
         if held:
             yield recurring()
 
     return run
 
 
-def _postings(n: int, t: float, frequent: np.ndarray, buckets: int):
-    """Rows (bucket, blob): the prefix elements of many sets, packed for one bucket of keys."""
-    kind = np.dtype([("key", "u8"), ("doc", "i8"), ("size", "i4"), ("pos", "i4")])
+def packed(columns: list[np.ndarray]) -> bytes:
+    """Columns as planes of bytes, first bytes before second ones, so that zeros stand together and compress."""
+    return b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T.tobytes() for c in columns)
+
+
+def unpacked(raw: memoryview, kinds: tuple[str, ...]) -> list[np.ndarray]:
+    widths = [np.dtype(k).itemsize for k in kinds]
+    n, at, out = len(raw) // sum(widths), 0, []
+    for kind, width in zip(kinds, widths):
+        out.append(np.ascontiguousarray(np.frombuffer(raw[at : at + n * width], np.uint8).reshape(width, n).T).view(kind)[:, 0])
+        at += n * width
+    return out
+
+
+#: An entry of a list: 32 bits of the key (two keys may share a list), step from the last doc_id, size and position.
+ENTRY = ("u4", "i8", "i4", "i4")
+
+
+def _postings(n: int, t: float, frequent: Frequent, buckets: int):
+    """Rows (bucket, blob): the prefix elements of many sets, packed for one bucket of keys.
+
+    Frequent keys go where their least document sends them: those of one group of similar sets then meet in few buckets, which find a pair once instead of once in each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held: list[tuple[int, np.ndarray]] = []
         total = 0
 
-        def packed() -> pa.RecordBatch:
-            rows = np.concatenate(held)
-            bucket = (flat.mix(rows["key"]) % np.uint64(buckets)).astype(np.int32)
+        def rows() -> pa.RecordBatch:
+            key = np.concatenate([k for _, k in held])
+            many = [len(k) for _, k in held]
+            doc = np.repeat(np.array([d for d, _ in held], np.int64), many)
+            size = np.repeat(np.array(sizes, np.int32), many)
+            pos = (np.arange(len(key)) - np.repeat(np.cumsum([0, *many[:-1]]), many)).astype(np.int32)
+            mixed = flat.mix(key)
+            bucket = frequent.buckets(key, mixed, buckets)
             order = np.argsort(bucket, kind="stable")
-            rows, bucket = rows[order], bucket[order]
-            ids, at = np.unique(bucket, return_index=True)
-            cut = [*at.tolist(), len(rows)]
-            # column by column, so that equal bytes stand together and compress
-            blobs = [b"".join(rows[c][a:b].tobytes() for c in kind.names) for a, b in zip(cut, cut[1:])]
+            ids, cut = np.unique(bucket[order], return_index=True)
+            blobs = []
+            for part in np.split(order, cut[1:]):
+                blobs.append(packed([(mixed[part] >> np.uint64(32)).astype(np.uint32), np.diff(doc[part], prepend=0), size[part], pos[part]]))
             return pa.record_batch([pa.array(ids), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
+        sizes: list[int] = []
         for batch in flat.chunks(batches):
             for doc, s in zip(batch.column("doc_id").to_pylist(), keys_of(batch, n, frequent)):
-                if len(s) and doc is not None:
-                    p = prefix(len(s), t)
-                    rows = np.empty(p, kind)
-                    rows["key"], rows["doc"], rows["size"], rows["pos"] = s[:p], doc, len(s), np.arange(p)
-                    held.append(rows)
-                    total += p
-            if total > SLAB // 2:
-                yield packed()
-                held, total = [], 0
+                if len(s):
+                    held.append((doc, s[: prefix(len(s), t)]))
+                    sizes.append(len(s))
+                    total += len(held[-1][1])
+            if total > 2 * SLAB:
+                yield rows()
+                held, sizes, total = [], [], 0
         if held:
-            yield packed()
+            yield rows()
 
     return run
 
@@ -172,10 +230,9 @@ def _candidates(t: float):
         parts: list[list[np.ndarray]] = [[], [], [], []]
         for batch in batches:
             for blob in batch.column("blob"):
-                raw = memoryview(blob.as_buffer())
-                n = len(raw) // 24
-                for k, (kind, a, b) in enumerate((("u8", 0, 8), ("i8", 8, 16), ("i4", 16, 20), ("i4", 20, 24))):
-                    parts[k].append(np.frombuffer(raw[a * n : b * n], kind))
+                key, step, size, pos = unpacked(memoryview(blob.as_buffer()), ENTRY)
+                for part, x in zip(parts, (key, np.cumsum(step), size, pos)):
+                    part.append(x)
         if not parts[0]:
             return
         key, doc, size, pos = (np.concatenate(p) for p in parts)
@@ -209,7 +266,7 @@ def _candidates(t: float):
 def _sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in flat.chunks(batches):
-            sets = keys_of(batch, n, np.empty(0, np.uint64))
+            sets = keys_of(batch, n, NO_FREQUENT)
             yield pa.record_batch([batch.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "keys"])
 
     return run
@@ -289,9 +346,9 @@ def set_join(docs: DataFrame, t: float = THRESHOLD, n: int = N) -> tuple[DataFra
     tune(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text")).where("doc_id is not null and text is not null")
-    survey = written(docs.mapInArrow(_survey(n, t), "doc_id long, sig binary, size int, key long, n long"), "near-survey")
-    heavy = survey.where("key is not null").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "key").limit(FREQUENT_KEYS).select("key")
-    frequent = np.sort(np.array([r.key for r in heavy.toLocalIterator()], np.int64).view(np.uint64))
+    survey = written(docs.mapInArrow(_survey(n), "doc_id long, sig binary, size int, key long, n long, low long"), "near-survey")
+    heavy = survey.where("key is not null").groupBy("key").agg(F.sum("n").alias("n"), F.min("low").alias("low")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "key").limit(FREQUENT_KEYS).toArrow()
+    frequent = Frequent(np.asarray(heavy["key"]).astype(np.int64).view(np.uint64), np.asarray(heavy["n"]), np.asarray(heavy["low"]))
     own = survey.where("key is null and size > 0").select("doc_id", "sig").distinct()
     members = written(own.join(own.groupBy("sig").agg(F.min("doc_id").alias("rep")), "sig").select("doc_id", "rep"), "near-members")
     # a document is left out of the join if every text of it equals one of a representative
@@ -304,9 +361,17 @@ def set_join(docs: DataFrame, t: float = THRESHOLD, n: int = N) -> tuple[DataFra
     candidates = written(found.groupBy("a", "b").agg(F.sum("n").alias("n"), F.sum("early").alias("early"), F.max("sa").alias("sa"), F.max("sb").alias("sb")).where(enough & (F.col("early") > 0)).select("a", "b"), "near-candidates")
     wanted = written(candidates.select(F.col("a").alias("doc_id")).union(candidates.select("b")).distinct(), "near-wanted")
     sets = reps.join(small(wanted), "doc_id", "left_semi").mapInArrow(_sets(n), "doc_id long, keys binary")
-    side = math.ceil(math.sqrt(2 * parts))
-    group = lambda c: F.pmod(F.xxhash64(c), F.lit(side)).cast("int")
-    blocked = candidates.select((F.least(group("a"), group("b")) * side + F.greatest(group("a"), group("b"))).alias("block"), "a", "b")
+    # pairs of one group of similar sets are checked together, in blocks of bounded size
+    step = candidates.groupBy(F.col("b").alias("doc")).agg(F.min("a").alias("low"))
+    ends = candidates.select(F.col("a").alias("doc")).union(candidates.select("b")).distinct()
+    label = ends.join(step, "doc", "left").select("doc", F.coalesce("low", "doc").alias("low"))
+    label = label.join(label.groupBy("low").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("sides")), "low")
+    label = written(label.select("doc", "low", F.pmod(F.xxhash64("doc"), F.col("sides")).alias("side")), "near-labels")
+    la, lb = (label.select(F.col("doc").alias(x), F.col("low").alias(f"low_{x}"), F.col("side").alias(f"side_{x}")) for x in "ab")
+    same = F.col("low_a") == F.col("low_b")
+    inside = F.xxhash64("low_a", F.least("side_a", "side_b"), F.greatest("side_a", "side_b"))
+    across = F.xxhash64("low_a", "low_b", "side_a", "side_b")
+    blocked = written(candidates.join(la, "a").join(lb, "b").select(F.when(same, inside).otherwise(across).alias("block"), "a", "b"), "near-blocks")
     needed = blocked.select(F.col("block").alias("at"), F.col("a").alias("doc_id")).union(blocked.select("block", "b")).distinct()
     placed = needed.join(sets, "doc_id")
     pairs = blocked.groupBy("block").cogroup(placed.groupBy("at")).applyInArrow(_check(t), "doc_a long, doc_b long, jaccard double")
