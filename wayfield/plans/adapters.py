@@ -1,16 +1,23 @@
 """Trajectories out of the event table, as DataFrames; PRELUDE has the same as SQL for the oracle.
 
 A user is a run, fifteen users are a task; steps are a run's events in time order. The synthetic landscape gives
-every step two blocks, (type, quarter of the day) and (type, k mod 4), so that everything after the graph
-can be held against SQL.
+every step two blocks, (type, quarter of the day, k / 20) and (type, k mod 25), so that everything after the
+graph can be held against SQL.
 """
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import keys as K
+from ..operators import events as E
+from ..operators import field as A
+from ..operators import graph as G
+from ..operators import markov as M
+from ..operators import sequences as S
 
 TYPES = ["click", "error", "purchase", "signup", "view"]
 
@@ -71,15 +78,94 @@ def type_number(col: str = "tool"):
     return F.array_position(F.array(*[F.lit(t) for t in TYPES]), F.col(col)).cast("int") - 1
 
 
-def memberships(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(step columns, block_id): the two blocks of each step."""
-    s = steps(spark, sf_dir).where("k is not null")
-    blocks = F.array(type_number() * 4 + F.col("quarter"), F.lit(20) + type_number() * 4 + F.col("k") % 4)
-    return s.withColumn("block_id", F.explode(blocks))
+def memberships(steps: DataFrame) -> DataFrame:
+    """(step columns, articulation, block_id): the two blocks of each step."""
+    blocks = F.array((type_number() * 4 + F.col("quarter")) * 5 + F.floor(F.col("k") / 20).cast("int"), F.lit(100) + type_number() * 25 + F.col("k") % 25)
+    return steps.where("k is not null").withColumn("articulation", F.col("quarter") == 0).withColumn("block_id", F.explode(blocks.cast("array<bigint>")))
+
+
+class Landscape:
+    """Tables of the synthetic landscape, each made when it is first asked for; those that many others read are written once."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    @cached_property
+    def steps(self) -> DataFrame:
+        return steps(self.spark, self.sf_dir)
+
+    @cached_property
+    def members(self) -> DataFrame:
+        return G.kept(memberships(self.steps), "members")
+
+    @cached_property
+    def runs(self) -> DataFrame:
+        return A.runs_of(self.steps)
+
+    @cached_property
+    def stats(self) -> DataFrame:
+        return S.block_stats(self.members)
+
+    @cached_property
+    def primary(self) -> DataFrame:
+        return S.primary_blocks(self.members, self.stats)
+
+    @cached_property
+    def ordered(self) -> DataFrame:
+        return G.kept(S.ordered(self.primary), "ordered")
+
+    @cached_property
+    def compact(self) -> DataFrame:
+        return S.compacted(self.ordered)
+
+    @cached_property
+    def moves(self) -> DataFrame:
+        return S.transitions(self.compact)
+
+    @cached_property
+    def visits(self) -> DataFrame:
+        return S.visits(self.members)
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        return A.block_graph(self.members, self.compact)
+
+    @cached_property
+    def seeds(self) -> DataFrame:
+        return A.seeds(self.visits, self.runs)
+
+    @cached_property
+    def field(self) -> DataFrame:
+        return G.kept(A.diffused(self.seeds, self.edges), "field")
+
+    @cached_property
+    def masked(self) -> DataFrame:
+        return A.masks(self.field)
+
+    @cached_property
+    def core(self) -> DataFrame:
+        return self.masked.where("is_core").select("task_id", "block_id")
+
+    @cached_property
+    def gates(self) -> DataFrame:
+        """Blocks with an articulation point."""
+        return self.stats.where("has_articulation").select("task_id", "block_id")
+
+    @cached_property
+    def blocks(self) -> DataFrame:
+        return G.with_roles(G.block_table(self.members, self.runs), self.steps)
+
+    @cached_property
+    def typed(self) -> DataFrame:
+        return G.kept(M.typed_sequences(self.ordered, self.blocks, self.masked), "typed")
+
+    @cached_property
+    def events(self) -> DataFrame:
+        return E.rollout_events(self.compact, self.runs, self.masked, self.gates)
 
 
 PRELUDE = r"""
-WITH ev AS (SELECT event_id, ts, user_id, event_type, value, (props->>'$.k')::INT AS k FROM events WHERE user_id IS NOT NULL),
+WITH RECURSIVE ev AS (SELECT event_id, ts, user_id, event_type, value, (props->>'$.k')::INT AS k FROM events WHERE user_id IS NOT NULL),
 st0 AS (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS step_idx, count(*) OVER (PARTITION BY user_id) AS n_steps,
     (sum((event_type = 'purchase')::INT) OVER (PARTITION BY user_id) >= sum((event_type = 'error')::INT) OVER (PARTITION BY user_id))::INT AS resolved FROM ev),
@@ -94,13 +180,13 @@ keyed AS (
     'PHASE:' || CASE WHEN progress <= 0.33 THEN 'early' WHEN progress <= 0.67 THEN 'mid' ELSE 'late' END], lambda x: x IS NOT NULL))) AS keys FROM steps),
 slices AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY run_id, step_idx) - 1 AS slice FROM keyed),
 numbered AS (SELECT *, list_position(['click', 'error', 'purchase', 'signup', 'view'], tool) - 1 AS tn FROM steps WHERE k IS NOT NULL),
-member AS (SELECT *, unnest([tn * 4 + quarter, 20 + tn * 4 + k % 4])::INT AS block_id FROM numbered),
+member AS (SELECT *, quarter = 0 AS articulation, unnest([(tn * 4 + quarter) * 5 + k // 20, 100 + tn * 25 + k % 25])::BIGINT AS block_id FROM numbered),
 runs AS (SELECT DISTINCT benchmark, task_id, model_id, run_id, resolved FROM steps),
 bstat AS (
-  SELECT task_id, block_id, count(*) AS n_nodes, count(DISTINCT run_id) AS n_unique_runs, avg(resolved) AS purity, median(step_idx) AS temporal_span,
-    min(step_idx) AS min_pos, max(step_idx) AS max_pos, bool_or(quarter = 0) AS has_articulation FROM member GROUP BY task_id, block_id),
+  SELECT task_id, block_id, count(*) AS n_nodes, count(DISTINCT run_id) AS n_unique_runs, avg(resolved) AS purity, quantile_cont(step_idx, 0.5) AS temporal_span,
+    min(step_idx) AS min_pos, max(step_idx) AS max_pos, bool_or(articulation) AS has_articulation FROM member GROUP BY task_id, block_id),
 prim AS (
-  SELECT m.benchmark, m.task_id, m.model_id, m.run_id, m.resolved, m.step_idx, m.n_steps, m.progress, m.tool, m.action, m.event_id,
+  SELECT m.benchmark, m.task_id, m.model_id, m.run_id, m.resolved, m.step_idx, m.event_id,
     arg_max(m.block_id, (b.n_nodes, b.n_unique_runs, -b.min_pos, -m.block_id)) AS block_id
   FROM member m JOIN bstat b USING (task_id, block_id) GROUP BY ALL),
 ordered AS (
@@ -108,5 +194,64 @@ ordered AS (
     lag(block_id) OVER (PARTITION BY task_id, run_id ORDER BY step_idx) AS before FROM prim),
 compact AS (SELECT *, row_number() OVER (PARTITION BY task_id, run_id ORDER BY idx) - 1 AS cidx FROM ordered WHERE before IS NULL OR before <> block_id),
 visits AS (SELECT DISTINCT task_id, run_id, resolved, block_id FROM member),
-bfail AS (SELECT task_id, block_id, avg(1 - resolved) AS fail_rate, count(*) AS visitors FROM visits GROUP BY task_id, block_id)
+bfail AS (SELECT task_id, block_id, count(*) AS visitors, sum(1 - resolved) AS failed, avg(1 - resolved) AS fail_rate FROM visits GROUP BY task_id, block_id),
+total AS (SELECT task_id, count(*) AS n_total, avg(resolved) AS base FROM runs GROUP BY task_id),
+seeds AS (
+  SELECT task_id, block_id, n_visit, n_total, round(CASE WHEN n_visit < 3 OR n_visit > n_total - 3 THEN 0 ELSE (n_good / n_visit - base) * power(least(greatest(n_visit / n_total, 0), 1), 0.5) END, 9) AS seed
+  FROM (SELECT task_id, block_id, count(*) AS n_visit, sum(resolved) AS n_good FROM visits GROUP BY ALL) JOIN total USING (task_id)),
+follow AS (SELECT task_id, run_id, cidx, block_id AS src, lead(block_id) OVER (PARTITION BY task_id, run_id ORDER BY cidx) AS dst FROM compact),
+moves AS (SELECT task_id, src, dst, count(*) AS n FROM follow WHERE dst IS NOT NULL GROUP BY ALL),
+shared AS (SELECT DISTINCT l.task_id, l.block_id AS a, r.block_id AS b FROM member l JOIN member r ON l.event_id = r.event_id AND l.block_id < r.block_id),
+edges AS (SELECT task_id, a, b FROM shared UNION SELECT task_id, least(src, dst), greatest(src, dst) FROM moves WHERE src <> dst),
+both_ways AS (SELECT task_id, a, b FROM edges UNION ALL SELECT task_id, b, a FROM edges),
+adj AS MATERIALIZED (SELECT * FROM both_ways UNION ALL SELECT task_id, block_id, block_id FROM seeds),
+seeded AS MATERIALIZED (SELECT * FROM seeds),
+rf(t, task_id, block_id, f) AS (
+  SELECT 0, task_id, block_id, seed::DOUBLE FROM seeded
+  UNION ALL
+  SELECT r.t + 1, s.task_id, s.block_id, 0.65 * s.seed + 0.35 * avg(r.f) FROM rf r JOIN adj a ON r.task_id = a.task_id AND r.block_id = a.b
+    JOIN seeded s ON s.task_id = a.task_id AND s.block_id = a.a WHERE r.t < 24 GROUP BY r.t, s.task_id, s.block_id, s.seed),
+field AS (SELECT task_id, block_id, round(f / CASE WHEN most > 1e-12 THEN most ELSE 1 END, 9) AS field FROM (SELECT *, max(abs(f)) OVER (PARTITION BY task_id) AS most FROM rf WHERE t = 24)),
+cuts AS (
+  SELECT task_id, count(*) FILTER (field > 0) AS n_up, count(*) FILTER (field < 0) AS n_down, round(quantile_cont(field, 0.75) FILTER (field > 0), 9) AS core_at,
+    round(quantile_cont(field, 0.25) FILTER (field < 0), 9) AS trap_at FROM field GROUP BY task_id),
+masked AS (
+  SELECT task_id, block_id, field, field > 0 AND (n_up <= 3 OR field >= core_at) AS is_core, field < 0 AND (n_down <= 3 OR field <= trap_at) AS is_trap FROM field JOIN cuts USING (task_id)),
+gates AS (SELECT task_id, block_id FROM bstat WHERE has_articulation),
+blocks0 AS (
+  SELECT m.task_id, block_id, count(*) AS n_nodes, count(*) = 2 AS is_trivial, round(count(DISTINCT run_id) / any_value(n_total), 4) AS response_coverage, count(DISTINCT run_id) AS n_unique_runs,
+    round(avg(resolved), 4) AS resolved_purity, CASE WHEN count(DISTINCT run_id) FILTER (resolved = 1) > count(DISTINCT run_id) / 2 THEN 'resolved' ELSE 'failed' END AS dominant_outcome,
+    round(quantile_cont(step_idx, 0.5), 2) AS temporal_span, min(step_idx) AS min_pos, max(step_idx) AS max_pos, bool_or(articulation) AS has_articulation
+  FROM member m JOIN total t ON m.task_id = t.task_id GROUP BY m.task_id, block_id),
+roles AS (
+  SELECT b.*, CASE WHEN response_coverage > 0.4 AND n_nodes >= 6 AND temporal_span <= q50 THEN 'common_setup' WHEN n_nodes >= 6 AND temporal_span > q50 AND resolved_purity >= 0.6 AND n_unique_runs >= 3 THEN 'success_outcome'
+    WHEN n_nodes >= 6 AND temporal_span > q50 THEN 'weak_basin' WHEN n_nodes <= 5 AND has_articulation THEN 'decision_point' ELSE 'intermediate' END AS role0
+  FROM blocks0 b JOIN (SELECT task_id, quantile_cont(step_idx, 0.5) AS q50 FROM steps GROUP BY task_id) USING (task_id)),
+blocks AS (
+  SELECT * EXCLUDE (role0), CASE WHEN role0 = 'success_outcome' AND row_number() OVER (PARTITION BY task_id, dominant_outcome, role0 ORDER BY n_nodes DESC, block_id) > 1 THEN 'weak_basin' ELSE role0 END AS role FROM roles),
+typed0 AS (
+  SELECT o.*, role || '|' || CASE WHEN idx / greatest(len - 1, 1) < 1/3 THEN 'early' WHEN idx / greatest(len - 1, 1) < 2/3 THEN 'mid' ELSE 'late' END || '|' || CASE WHEN is_core THEN 'core' ELSE 'outer' END AS state
+  FROM ordered o JOIN blocks USING (task_id, block_id) LEFT JOIN masked USING (task_id, block_id)),
+typed AS (
+  SELECT *, row_number() OVER (PARTITION BY task_id, run_id ORDER BY idx) - 1 AS cidx FROM (SELECT *, lag(state) OVER (PARTITION BY task_id, run_id ORDER BY idx) AS last FROM typed0) WHERE last IS NULL OR last <> state),
+flagged AS (SELECT c.task_id, c.run_id, c.resolved, cidx, block_id, coalesce(is_core, false) AS is_core, coalesce(is_trap, false) AS is_trap FROM compact c LEFT JOIN masked USING (task_id, block_id)),
+flags AS (
+  SELECT task_id, run_id, max(is_core::INT) AS access, max(is_trap::INT) AS trap,
+    coalesce(min(cidx) FILTER (is_trap) < max(cidx) FILTER (is_core AND NOT is_trap), false)::INT AS repair FROM flagged GROUP BY ALL),
+gseen AS (SELECT DISTINCT c.task_id, c.run_id, c.resolved, c.block_id FROM compact c JOIN gates USING (task_id, block_id)),
+gvalue AS (
+  SELECT task_id, run_id, avg(q) AS gate_value FROM gseen JOIN (SELECT task_id, block_id, (sum(resolved) + 0.5) / (count(*) + 1) AS q FROM gseen GROUP BY ALL) USING (task_id, block_id) GROUP BY ALL),
+rollout AS (
+  SELECT r.benchmark, r.task_id, r.model_id, r.run_id, r.resolved, access, trap, repair, gate_value, gate_value IS NOT NULL AS visited_gate
+  FROM runs r JOIN flags USING (task_id, run_id) LEFT JOIN gvalue USING (task_id, run_id)),
+long AS (
+  SELECT benchmark, task_id, model_id, run_id, resolved, unnest(['access', 'trap', 'repair', 'gate_value']) AS event, unnest([access::DOUBLE, trap::DOUBLE, repair::DOUBLE, gate_value]) AS x FROM rollout),
+tmoves AS (
+  SELECT benchmark, task_id, model_id, run_id, state AS si, coalesce(lead(state) OVER (PARTITION BY task_id, run_id ORDER BY cidx), CASE WHEN resolved = 1 THEN 'EOS_resolved' ELSE 'EOS_failed' END) AS sj FROM typed),
+tstates AS (SELECT DISTINCT task_id, state FROM typed UNION SELECT DISTINCT task_id, unnest(['EOS_resolved', 'EOS_failed']) FROM typed),
+tcounts AS (SELECT task_id, si, sj, count(*) AS n FROM tmoves GROUP BY ALL),
+tfull AS (
+  SELECT a.task_id, a.state AS si, b.state AS sj, coalesce(n, 0) AS n, sum(coalesce(n, 0)) OVER (PARTITION BY a.task_id, a.state)::BIGINT AS visits, count(*) OVER (PARTITION BY a.task_id, a.state) AS size
+  FROM tstates a JOIN tstates b ON a.task_id = b.task_id LEFT JOIN tcounts c ON c.task_id = a.task_id AND c.si = a.state AND c.sj = b.state),
+kernel AS (SELECT task_id, si, sj, n, visits, CASE WHEN starts_with(si, 'EOS_') THEN (si = sj)::INT::DOUBLE ELSE (n + 0.5) / (visits + 0.5 * size) END AS p FROM tfull)
 """

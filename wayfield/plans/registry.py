@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from . import chains, columns, detectors, landscapes, stars, studies  # noqa: F401  (they register their queries)
+from .register import QUERIES, SQL
+
+__all__ = ["FLAGSHIP", "QUERIES", "SQL"]
 FLAGSHIP = "agg17_supply"
