@@ -39,7 +39,7 @@ def spearman(df: DataFrame, by: list[str], x: str, y: str, least: int = 10) -> D
     """(by, rho, n): correlation of average ranks, with ``least`` rows or more."""
     rank = lambda c: F.rank().over(Window.partitionBy(*by).orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, c)) - 1) / 2
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("rx", rank(x)).withColumn("ry", rank(y))
-    return rows.groupBy(*by).agg(F.round(F.corr("rx", "ry"), 6).alias("rho"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    return rows.groupBy(*by).agg(F.round(F.covar_pop("rx", "ry") / F.nullif(F.stddev_pop("rx") * F.stddev_pop("ry"), F.lit(0.0)), 6).alias("rho"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
 
 
 def one_sample_t(df: DataFrame, by: list[str], value: str) -> DataFrame:
