@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import keys as K
 
-LOG = Window.partitionBy("run_id").orderBy("step")
+
+
+def in_log():
+    return Window.partitionBy("run_id").orderBy("step")
 
 
 def signature(keys: str) -> Column:
@@ -53,12 +56,12 @@ def grid(spark: SparkSession) -> DataFrame:
 
 def before_submit(log: DataFrame) -> DataFrame:
     """The steps of each run before its first submission, with ``recent_k``: a hard error in the last k steps (k = 1, 2, 3)."""
-    submitted = F.max((F.col("intent") == "submit").cast("int")).over(LOG.rowsBetween(Window.unboundedPreceding, 0))
+    submitted = F.max((F.col("intent") == "submit").cast("int")).over(in_log().rowsBetween(Window.unboundedPreceding, 0))
     hard = F.col("hard").cast("int")
     out = log.withColumn("__over", submitted)
     for k in (1, 2, 3):
-        out = out.withColumn(f"recent_{k}", F.max(hard).over(LOG.rowsBetween(1 - k, 0)) > 0)
-    return out.withColumn("idx", F.row_number().over(LOG) - 1).where(F.col("__over") == 0).drop("__over")
+        out = out.withColumn(f"recent_{k}", F.max(hard).over(in_log().rowsBetween(1 - k, 0)) > 0)
+    return out.withColumn("idx", F.row_number().over(in_log()) - 1).where(F.col("__over") == 0).drop("__over")
 
 
 def eligible(log: DataFrame, cells: DataFrame, warmup: int = 2) -> DataFrame:
@@ -121,7 +124,7 @@ def passing(kpi: DataFrame, own: str = "own", control: str = "shuffled") -> Data
 
 def follow_up(log: DataFrame, fired: str = "fired", window: int = 2) -> DataFrame:
     """(run_id, n_triggers, share of triggers followed within ``window`` steps by a test, a read, an edit, a submission)."""
-    after = LOG.rowsBetween(1, window)
+    after = in_log().rowsBetween(1, window)
     out = log
     for x in ("test", "read", "edit", "submit"):
         out = out.withColumn(f"then_{x}", F.coalesce(F.max((F.col("intent") == x).cast("int")).over(after), F.lit(0)))
