@@ -33,8 +33,8 @@ from .shared import small, tune, written
 N, THRESHOLD = 2, 0.6
 #: An n-gram in so many sets is frequent; this only changes the order, never the result.
 FREQUENT, FREQUENT_KEYS = 20, 1_000_000
-#: Pairs of list entries, or keys, that one step of a worker holds; and sets of one block of the check.
-SLAB, BLOCK = 1_000_000, 1000
+#: Keys of texts, or pairs of list entries, that one step of a worker holds; sets of one block of the check; bytes of text taken at once.
+HELD, SLAB, BLOCK, CHUNK = 2_000_000, 250_000, 400, 1 << 20
 _HEAVY = np.uint64(1 << 63)
 
 
@@ -114,7 +114,7 @@ def _survey(n: int):
             nil = pa.nulls(len(keys))
             return pa.record_batch([nil.cast(pa.int64()), nil.cast(pa.binary()), nil.cast(pa.int32()), pa.array(keys.view(np.int64)), pa.array(times), pa.array(low)], names=names)
 
-        for batch in flat.chunks(batches):
+        for batch in flat.chunks(batches, most=CHUNK):
             sets = keys_of(batch, n, NO_FREQUENT)
             sizes = np.array([len(s) for s in sets], np.int32)
             at = np.concatenate([[0], np.cumsum(sizes)])
@@ -129,7 +129,7 @@ def _survey(n: int):
                     held.append(s)
                     owner.append(np.full(len(held[-1]), d))
                     total += len(held[-1])
-            if total > 2 * SLAB:
+            if total > HELD:
                 yield recurring()
                 held, owner, total = [], [], 0
         if held:
@@ -181,13 +181,13 @@ def _postings(n: int, t: float, frequent: Frequent, buckets: int):
             return pa.record_batch([pa.array(ids), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
         sizes: list[int] = []
-        for batch in flat.chunks(batches):
+        for batch in flat.chunks(batches, most=CHUNK):
             for doc, s in zip(batch.column("doc_id").to_pylist(), keys_of(batch, n, frequent)):
                 if len(s):
                     held.append((doc, s[: prefix(len(s), t)]))
                     sizes.append(len(s))
                     total += len(held[-1][1])
-            if total > 2 * SLAB:
+            if total > HELD:
                 yield rows()
                 held, sizes, total = [], [], 0
         if held:
@@ -202,13 +202,12 @@ def list_pairs(key: np.ndarray, doc: np.ndarray, size: np.ndarray, pos: np.ndarr
     At most min(pos) elements can be common before a common one and min(size - pos) from it on; ``early``
     pairs have enough of the latter alone, as the first common element of a similar pair must."""
     order = np.lexsort((pos, size, key))
-    key, doc, size, pos = key[order], doc[order], size[order].astype(np.int64), pos[order].astype(np.int64)
-    run = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
-    place = (run << 32) | size
-    far = np.searchsorted(place, (run << 32) | np.floor(size / t + 1e-9).astype(np.int64), "right")
-    here = np.arange(len(key))
-    many = np.maximum(far - here - 1, 0)
-    edge = np.concatenate([[0], np.cumsum(many)])
+    key, doc, size, pos = key[order], doc[order], size[order], pos[order]
+    place = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]])) << 32
+    far = np.searchsorted(place | size, place | np.floor(size / t + 1e-9).astype(np.int64), "right")
+    del order, place
+    edge = np.concatenate([[0], np.cumsum(np.maximum(far - np.arange(1, len(key) + 1), 0))])
+    del far
     a = 0
     while a < len(key):
         b = max(a + 1, int(np.searchsorted(edge, edge[a] + SLAB, "right")) - 1)
@@ -238,6 +237,7 @@ def _candidates(t: float):
         key, doc, size, pos = (np.concatenate(p) for p in parts)
         parts.clear()
         ids, doc = np.unique(doc, return_inverse=True)
+        doc = doc.astype(np.int32)
         sizes = np.zeros(len(ids), np.int64)
         sizes[doc] = size
         known, count = np.empty(0, np.int64), np.empty(0, np.int64)
@@ -249,7 +249,7 @@ def _candidates(t: float):
             return codes, np.bincount(inverse, np.concatenate([count, *ones]), len(codes)).astype(np.int64)
 
         for a, b, early in list_pairs(key, doc, size, pos, t):
-            fresh.append(a * len(ids) + b)
+            fresh.append(a.astype(np.int64) * len(ids) + b)
             ones.append(1 + (early.astype(np.int64) << 24))
             if sum(map(len, fresh)) > 2 * SLAB:
                 known, count = merged(known, count, fresh, ones)
@@ -265,7 +265,7 @@ def _candidates(t: float):
 
 def _sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in flat.chunks(batches):
+        for batch in flat.chunks(batches, most=CHUNK):
             sets = keys_of(batch, n, NO_FREQUENT)
             yield pa.record_batch([batch.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "keys"])
 
@@ -406,7 +406,8 @@ def components(edges: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, t: float = THRESHOLD, n: int = N) -> DataFrame:
     """The documents without all but the least doc_id of each group that similar pairs connect.
 
-    Rows in no group stay as they are, null texts and null doc_ids among them."""
+    Texts connect groups, not identifiers: a doc_id with several texts goes with all its rows unless it is
+    the least of each group that they are in. Rows in no group stay as they are, null texts and null doc_ids among them."""
     members, pairs = set_join(docs, t, n)
     roots = components(pairs.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")))
     gone = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("__root")).where("doc_id <> __root").select(F.col("doc_id").alias("__gone")).distinct()
