@@ -256,6 +256,19 @@ def test_jaccard_join_of_a_large_group_and_of_nothing(spark, empty):
     assert near.jaccard_join(empty).count() == 0
 
 
+def test_jaccard_join_of_sets_of_unlike_sizes(spark):
+    """A text and the same with up to two thirds more, of frequent and of rare words on either side."""
+    rows = []
+    for k in range(60):
+        own = [f"t{k}x{i}" for i in range(30)]
+        more = [f"common{(k * 7 + i) % 40}" if k % 2 else f"rare{k}x{i}" for i in range(k % 21)]
+        rows += [(2 * k, " ".join(own)), (2 * k + 1, " ".join(more[: len(more) // 2] + own + more[len(more) // 2 :]))]
+        rows += [(1000 + 40 * k + i, f"common{(k * 7 + i) % 40} common{(k * 7 + i + 1) % 40} filler{k}") for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute.similar_pairs(rows, 0.6)
+    assert len(want) > 50 and {(r.doc_a, r.doc_b): r.jaccard for r in near.jaccard_join(df).collect()} == want
+
+
 def test_one_of_each_near_group_stays(docs, corpus, empty):
     gone = brute.not_least([r[:2] for r in corpus], 0.6)
     kept = near.drop_near_duplicates(docs)

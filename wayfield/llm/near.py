@@ -356,8 +356,8 @@ def set_join(docs: DataFrame, t: float = THRESHOLD, n: int = N) -> tuple[DataFra
     reps = docs.join(small(others), "doc_id", "left_anti")
     posted = reps.mapInArrow(_postings(n, t, frequent, 8 * parts), "bucket int, blob binary")
     found = posted.repartition(parts, "bucket").mapInArrow(_candidates(t), "a long, b long, n long, early long, sa long, sb long")
-    # PPJoin's bound: common prefix elements, and all that can follow both prefixes
-    enough = F.col("n") + F.ceil(F.lit(t) * F.least("sa", "sb") - 1e-9) - 1 >= F.ceil(F.lit(t / (1 + t)) * (F.col("sa") + F.col("sb")) - 1e-9)
+    # what is common beyond the common prefix elements lies behind the prefix that ends first, which may be the larger set's
+    enough = F.col("n") + F.ceil(F.lit(t) * F.greatest("sa", "sb") - 1e-9) - 1 >= F.ceil(F.lit(t / (1 + t)) * (F.col("sa") + F.col("sb")) - 1e-9)
     candidates = written(found.groupBy("a", "b").agg(F.sum("n").alias("n"), F.sum("early").alias("early"), F.max("sa").alias("sa"), F.max("sb").alias("sb")).where(enough & (F.col("early") > 0)).select("a", "b"), "near-candidates")
     wanted = written(candidates.select(F.col("a").alias("doc_id")).union(candidates.select("b")).distinct(), "near-wanted")
     sets = reps.join(small(wanted), "doc_id", "left_semi").mapInArrow(_sets(n), "doc_id long, keys binary")
