@@ -25,7 +25,7 @@ def distinct_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, those of sources below their target weight more than once."""
+    """Every document of a source that has a token, those of sources below their target weight more than once."""
     return mixing.mix(docs)
 
 
