@@ -7,13 +7,14 @@ characters, so that any letter beyond ASCII belongs to a word.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that a kernel takes at once; a longer document is a chunk of its own.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 
 _rng = np.random.default_rng(20240117)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -44,6 +45,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def release() -> None:
+    """Gives freed memory back to the machine, as a worker stays idle for long beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; a null has no bytes."""
     if isinstance(column, pa.ChunkedArray):
@@ -84,6 +93,8 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
                 waiting, held = [], 0
     if waiting:
         yield joined()
+    waiting.clear()
+    release()
 
 
 def spans(flags: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -33,8 +33,8 @@ from .shared import small, tune, written
 N, THRESHOLD = 2, 0.6
 #: An n-gram in so many sets is frequent; this only changes the order, never the result.
 FREQUENT, FREQUENT_KEYS = 20, 1_000_000
-#: Keys of texts, or pairs of list entries, that one step of a worker holds; sets of one block of the check; bytes of text taken at once.
-HELD, SLAB, BLOCK, CHUNK = 2_000_000, 250_000, 400, 1 << 20
+#: Keys of texts, pairs of list entries, or distinct pairs, that one step of a worker holds; sets of one block of the check; bytes of text taken at once.
+HELD, SLAB, PAIRS, BLOCK, CHUNK = 2_000_000, 250_000, 1_000_000, 400, 1 << 20
 _HEAVY = np.uint64(1 << 63)
 
 
@@ -196,30 +196,40 @@ def _postings(n: int, t: float, frequent: Frequent, buckets: int):
     return run
 
 
-def list_pairs(key: np.ndarray, doc: np.ndarray, size: np.ndarray, pos: np.ndarray, t: float) -> Iterator[tuple]:
-    """Pairs of entries of one list that sizes and positions allow, in bounded slabs: (doc, doc, early).
+def ordered_lists(key: np.ndarray, doc: np.ndarray, size: np.ndarray, pos: np.ndarray, t: float) -> tuple[np.ndarray, ...]:
+    """(doc, size, pos, far) of entries by list, size and document; an entry's partners stand behind it, up to ``far``, where sizes become too large.
 
-    At most min(pos) elements can be common before a common one and min(size - pos) from it on; ``early``
-    pairs have enough of the latter alone, as the first common element of a similar pair must."""
-    order = np.lexsort((pos, size, key))
+    A pair of documents thus stands in the same order in each of its lists."""
+    order = np.lexsort((doc, size, key))
     key, doc, size, pos = key[order], doc[order], size[order], pos[order]
     place = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]])) << 32
     far = np.searchsorted(place | size, place | np.floor(size / t + 1e-9).astype(np.int64), "right")
-    del order, place
-    edge = np.concatenate([[0], np.cumsum(np.maximum(far - np.arange(1, len(key) + 1), 0))])
-    del far
-    a = 0
-    while a < len(key):
-        b = max(a + 1, int(np.searchsorted(edge, edge[a] + SLAB, "right")) - 1)
-        for c in range(0, int(edge[b] - edge[a]), SLAB):  # one entry alone may have more partners than a slab holds
-            flatpos = np.arange(edge[a] + c, min(edge[b], edge[a] + c + SLAB))
-            i = np.searchsorted(edge, flatpos, "right") - 1
-            j = flatpos - edge[i] + i + 1
-            need, rest = least_overlap(size[i], size[j], t), np.minimum(size[i] - pos[i], size[j] - pos[j])
-            fits = (rest + np.minimum(pos[i], pos[j]) >= need) & (doc[i] != doc[j])
-            i, j, early = i[fits], j[fits], (rest >= need)[fits]
-            yield np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j]), early
-        a = b
+    return doc, size, pos, far
+
+
+def passes(doc: np.ndarray, many: np.ndarray, documents: int) -> Iterator[np.ndarray]:
+    """Entries of whole documents, as many as can have PAIRS distinct partners together."""
+    most = np.minimum(np.bincount(doc, many, documents), documents)
+    part = (np.cumsum(most) // PAIRS).astype(np.int64)[doc]
+    order = np.argsort(part, kind="stable")
+    yield from (np.sort(x) for x in np.split(order, np.flatnonzero(np.diff(part[order])) + 1))
+
+
+def list_pairs(doc: np.ndarray, size: np.ndarray, pos: np.ndarray, far: np.ndarray, chosen: np.ndarray, t: float) -> Iterator[tuple]:
+    """Pairs of the chosen entries with those behind them that sizes and positions allow, in bounded slabs: (doc, doc, early).
+
+    At most min(pos) elements can be common before a common one and min(size - pos) from it on; ``early``
+    pairs have enough of the latter alone, as the first common element of a similar pair must."""
+    edge = np.concatenate([[0], np.cumsum(np.maximum(far[chosen] - chosen - 1, 0))])
+    for c in range(0, int(edge[-1]), SLAB):
+        at = np.arange(c, min(int(edge[-1]), c + SLAB))
+        k = np.searchsorted(edge, at, "right") - 1
+        i = chosen[k]
+        j = at - edge[k] + i + 1
+        need, rest = least_overlap(size[i], size[j], t), np.minimum(size[i] - pos[i], size[j] - pos[j])
+        fits = (rest + np.minimum(pos[i], pos[j]) >= need) & (doc[i] != doc[j])
+        i, j, early = i[fits], j[fits], (rest >= need)[fits]
+        yield doc[i], doc[j], early
 
 
 def _candidates(t: float):
@@ -240,25 +250,31 @@ def _candidates(t: float):
         doc = doc.astype(np.int32)
         sizes = np.zeros(len(ids), np.int64)
         sizes[doc] = size
-        known, count = np.empty(0, np.int64), np.empty(0, np.int64)
-        fresh: list[np.ndarray] = []
-        ones: list[np.ndarray] = []
+        doc, size, pos, far = ordered_lists(key, doc, size, pos, t)
+        del key
 
         def merged(known, count, fresh, ones):
             codes, inverse = np.unique(np.concatenate([known, *fresh]), return_inverse=True)
             return codes, np.bincount(inverse, np.concatenate([count, *ones]), len(codes)).astype(np.int64)
 
-        for a, b, early in list_pairs(key, doc, size, pos, t):
-            fresh.append(a.astype(np.int64) * len(ids) + b)
-            ones.append(1 + (early.astype(np.int64) << 24))
-            if sum(map(len, fresh)) > 2 * SLAB:
-                known, count = merged(known, count, fresh, ones)
-                fresh, ones = [], []
-        known, count = merged(known, count, fresh, ones)
-        for k in range(0, len(known), 200_000):
-            a, b = np.divmod(known[k : k + 200_000], len(ids))
-            n = count[k : k + 200_000]
-            yield pa.record_batch([pa.array(ids[a]), pa.array(ids[b]), pa.array(n & 0xFFFFFF), pa.array(n >> 24), pa.array(sizes[a]), pa.array(sizes[b])], names=["a", "b", "n", "early", "sa", "sb"])
+        for chosen in passes(doc, np.maximum(far - np.arange(1, len(far) + 1), 0), len(ids)):
+            known, count, fresh, ones, waiting = np.empty(0, np.int64), np.empty(0, np.int64), [], [], 0
+            for a, b, early in list_pairs(doc, size, pos, far, chosen, t):
+                fresh.append(a.astype(np.int64) * len(ids) + b)
+                ones.append(1 + (early.astype(np.int64) << 24))
+                waiting += len(a)
+                if waiting > max(2 * SLAB, len(known) // 2):
+                    known, count = merged(known, count, fresh, ones)
+                    fresh, ones, waiting = [], [], 0
+            known, count = merged(known, count, fresh, ones)
+            for k in range(0, len(known), 200_000):
+                a, b = np.divmod(known[k : k + 200_000], len(ids))
+                n = count[k : k + 200_000]
+                low = ids[a] < ids[b]
+                first, second = np.where(low, a, b), np.where(low, b, a)
+                yield pa.record_batch([pa.array(ids[first]), pa.array(ids[second]), pa.array(n & 0xFFFFFF), pa.array(n >> 24), pa.array(sizes[first]), pa.array(sizes[second])], names=["a", "b", "n", "early", "sa", "sb"])
+        del doc, size, pos, far
+        flat.release()
 
     return run
 
