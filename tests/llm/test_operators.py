@@ -210,6 +210,16 @@ def test_mix_keeps_every_document_of_a_source_with_tokens(docs, corpus):
     assert rows.columns == docs.columns and {r.n for r in rows.select("n").collect()} == set(range(len(corpus)))
 
 
+def test_mix_waits_for_a_source_whose_first_point_comes_late(spark):
+    """Of 3,574 parts one is the null source's; the golden-ratio points first meet it in slot 4180."""
+    rows = [(k, "w " * 50, "hot") for k in range(40)] + [(40, "one two three four five six seven eight nine ten eleven twelve", None)]
+    df, weights = spark.createDataFrame(rows, "doc_id long, text string, source string"), {"hot": 3573.0, "": 1.0}
+    assert {r.doc_id for r in mixing.mix(df, weights, block=16).select("doc_id").distinct().collect()} == set(range(41))
+    late = mixing.schedule(df, weights, block=16)
+    assert {(r.slot, r.source, r.doc_id) for r in late.where("source = ''").collect()} == {(4180, "", 40)}
+    assert late.agg(F.max("slot")).first()[0] == 4180
+
+
 def test_schedule_shares_are_near_the_weights(spark):
     df = spark.createDataFrame([(k, "w " * 50, "ab"[k % 2]) for k in range(400)], "doc_id long, text string, source string")
     slots = mixing.schedule(df, {"a": 3.0, "b": 1.0}, block=51).select("slot", "source").distinct().orderBy("slot").collect()

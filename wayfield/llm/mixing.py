@@ -65,20 +65,29 @@ def plan(totals: dict[str, int], weights: dict[str, float] | None, block: int, a
     return out
 
 
+def drawn(spark: SparkSession, sources: list[tuple[str, int, int, int, int]], many: int) -> DataFrame:
+    """(slot, source, k, blocks): the first ``many`` slots, each the k-th of its source."""
+    cuts = F.broadcast(spark.createDataFrame([s[:4] for s in sources], "source string, low long, high long, blocks long"))
+    points = spark.range(many).select(F.col("id").alias("slot"), ((F.col("id") + 1) * F.lit(PHI) % F.lit(RANGE)).alias("point"), F.floor(F.col("id") / STRETCH).alias("stretch"))
+    at = points.join(cuts, (F.col("point") >= F.col("low")) & (F.col("point") < F.col("high"))).withColumn("one", F.lit(1).cast("long"))
+    return written(running(at, "source", "stretch", ["slot"], "one", "k").select("slot", "source", "k", "blocks"), "mixing-slots")
+
+
 def slots(spark: SparkSession, sources: list[tuple[str, int, int, int, int]]) -> DataFrame:
     """(slot, source, k, block, epoch) for as long as it takes that every block has a slot."""
     if not sources:
         return spark.createDataFrame([], "slot long, source string, k long, block long, epoch long")
     most = max(blocks * RANGE / max(high - low, 1) for _, low, high, blocks, _ in sources)
     many = int(most * 1.02) + 64 * len(sources) + 64
-    if many >= 2**31:
-        raise ValueError("more slots than the schedule has points; take larger blocks")
-    cuts = F.broadcast(spark.createDataFrame([s[:4] for s in sources], "source string, low long, high long, blocks long"))
-    points = spark.range(many).select(F.col("id").alias("slot"), ((F.col("id") + 1) * F.lit(PHI) % F.lit(RANGE)).alias("point"), F.floor(F.col("id") / STRETCH).alias("stretch"))
-    drawn = points.join(cuts, (F.col("point") >= F.col("low")) & (F.col("point") < F.col("high"))).withColumn("one", F.lit(1).cast("long"))
-    ranked = written(running(drawn, "source", "stretch", ["slot"], "one", "k").select("slot", "source", "k", "blocks"), "mixing-slots")
-    end = ranked.where("k = blocks - 1").agg(F.max("slot").alias("end"))
-    return ranked.join(F.broadcast(end), F.col("slot") <= F.col("end")).select("slot", "source", "k", (F.col("k") % F.col("blocks")).alias("block"), F.floor(F.col("k") / F.col("blocks")).alias("epoch"))
+    while True:
+        if many >= 2**31:
+            raise ValueError("more slots than the schedule has points; take larger blocks")
+        ranked = drawn(spark, sources, many)
+        end, reached = ranked.where("k = blocks - 1").agg(F.max("slot"), F.count(F.lit(1))).first()
+        if reached == len(sources):
+            break
+        many *= 2  # the points left a source waiting for its last block
+    return ranked.where(F.col("slot") <= end).select("slot", "source", "k", (F.col("k") % F.col("blocks")).alias("block"), F.floor(F.col("k") / F.col("blocks")).alias("epoch"))
 
 
 def sources_of(at: DataFrame, weights: dict[str, float] | None, block: int, alpha: float) -> list[tuple[str, int, int, int, int]]:
