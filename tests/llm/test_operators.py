@@ -130,6 +130,14 @@ def test_license_scan_is_the_join_of_all_lines_and_templates(spark, empty):
     assert licenses.scan(df, {"none": "..."}).count() == 0
 
 
+def test_license_scan_finds_each_kind_of_line_of_the_tables(spark):
+    lines = ["Licensed under the Apache License, Version 2.0.", "Released under the MIT License.", "This work is licensed under the GNU General Public License, version 3.", "Licensed under CC BY-NC 4.0.", "All rights reserved.", "Copyright, all rights reserved.", "Rights reserved to all."]
+    df = spark.createDataFrame([(k, f"before\n{x}\nafter") for k, x in enumerate(lines)], "doc_id long, text string")
+    found = {(r.doc_id, r.license) for r in licenses.scan(df).where("line = 1").collect()}
+    assert found >= {(0, "Apache-2.0"), (1, "MIT"), (2, "GPL-3.0"), (3, "CC-BY-NC-4.0"), (4, "All rights reserved, alone"), (5, "All rights reserved")}
+    assert (4, "All rights reserved") not in found
+
+
 @pytest.mark.parametrize("bits", [256, 8])
 def test_exact_dedup_keeps_one_row_of_each_text(docs, corpus, bits):
     """With digests of 8 bits most hits are of other texts, which stay."""

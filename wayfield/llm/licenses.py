@@ -39,6 +39,7 @@ TEMPLATES = {
     "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "All rights reserved": "Copyright, all rights reserved.",
+    "All rights reserved, alone": "All rights reserved.",
 }
 
 
