@@ -295,6 +295,19 @@ def test_one_of_each_near_group_stays(docs, corpus, empty):
     assert near.drop_near_duplicates(empty).count() == 0
 
 
+def test_each_text_of_a_doc_id_is_joined(spark):
+    """Doc 7 has two texts, each with a near copy of its own; doc 10 has one text and one of no word."""
+    a, b, c, d = ([f"{x}{k}" for k in range(30)] for x in "abcd")
+    near_of = lambda words: " ".join([*words[:-1], "changed"])
+    rows = [(7, " ".join(a)), (7, " ".join(b)), (8, near_of(a)), (9, near_of(b)), (10, " ".join(c)), (10, " .,"), (11, near_of(c)), (12, " ".join(a)), (13, " ".join(d)), (14, " ".join(d)), (14, near_of(b))]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "doc_id long, text string").coalesce(1)
+        want = brute.similar_pairs(rows, 0.6)
+        assert {(r.doc_a, r.doc_b): r.jaccard for r in near.jaccard_join(df).collect()} == want and {(7, 8), (7, 9), (10, 11), (7, 14)} <= set(want)
+        gone = brute.not_least(rows, 0.6)
+        assert sorted(near.drop_near_duplicates(df).select("doc_id", "text").collect()) == sorted(r for r in rows if r[0] not in gone) and gone == {8, 9, 11, 12, 14}
+
+
 def test_overlaps_follow_from_chains():
     r = np.random.default_rng(6)
     base = r.integers(0, 1000, 80)

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -95,6 +96,9 @@ def prefix(size: int, t: float) -> int:
     return size - math.ceil(t * size - 1e-9) + 1
 
 
+SURVEY = "doc_id long, sig binary, size int, key long, n long, low long"
+
+
 def _survey(n: int):
     """Rows (doc_id, signature, size) of documents and (key, n, low) of n-grams that recur in this task; low: the least hash of a document that has it."""
 
@@ -283,7 +287,8 @@ def _sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in flat.chunks(batches, most=CHUNK):
             sets = keys_of(batch, n, NO_FREQUENT)
-            yield pa.record_batch([batch.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "keys"])
+            some = pa.array([k for k, s in enumerate(sets) if len(s)], pa.int64())
+            yield pa.record_batch([batch.column("doc_id").take(some), pa.array([s.tobytes() for s in sets if len(s)], pa.binary())], names=["doc_id", "keys"])
 
     return run
 
@@ -356,18 +361,37 @@ def _check(t: float):
     return run
 
 
+def separated(docs: DataFrame, own: DataFrame, n: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(docs, own, names) where each id has one set: the texts of a doc_id with several sets go under hashes that are no doc_id, and names has their doc_id."""
+    several = written(own.groupBy("doc_id").count().where("count > 1").select("doc_id"), "near-several")
+    if not several.limit(1).count():
+        return docs, own, None
+    texts, rest = docs.join(small(several), "doc_id", "left_semi").distinct(), docs.join(small(several), "doc_id", "left_anti")
+    for salt in count():
+        apart = written(texts.select(F.xxhash64(F.lit(salt), "doc_id", "text").alias("id"), "doc_id", "text"), "near-apart")
+        taken = apart.select("id").union(own.select("doc_id").distinct()).groupBy("id").count()
+        if not taken.where("count > 1").limit(1).count():
+            break
+    texts = apart.select(F.col("id").alias("doc_id"), "text")
+    sets = texts.mapInArrow(_survey(n), SURVEY).where("key is null and size > 0").select("doc_id", "sig")
+    return rest.union(texts), own.join(small(several), "doc_id", "left_anti").union(sets), apart.select("id", F.col("doc_id").alias("name"))
+
+
 def set_join(docs: DataFrame, t: float = THRESHOLD, n: int = N) -> tuple[DataFrame, DataFrame]:
-    """(members, pairs): each document with the representative of its equal sets; and similar representatives."""
+    """(members, pairs): each document with the representative of each of its sets; and similar representatives.
+
+    A representative is the least doc_id with its set, or stands for a text of a doc_id with several sets."""
     spark = docs.sparkSession
     tune(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text")).where("doc_id is not null and text is not null")
-    survey = written(docs.mapInArrow(_survey(n), "doc_id long, sig binary, size int, key long, n long, low long"), "near-survey")
+    survey = written(docs.mapInArrow(_survey(n), SURVEY), "near-survey")
     heavy = survey.where("key is not null").groupBy("key").agg(F.sum("n").alias("n"), F.min("low").alias("low")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "key").limit(FREQUENT_KEYS).toArrow()
     frequent = Frequent(np.asarray(heavy["key"]).astype(np.int64).view(np.uint64), np.asarray(heavy["n"]), np.asarray(heavy["low"]))
     own = survey.where("key is null and size > 0").select("doc_id", "sig").distinct()
+    docs, own, names = separated(docs, own, n)
     members = written(own.join(own.groupBy("sig").agg(F.min("doc_id").alias("rep")), "sig").select("doc_id", "rep"), "near-members")
-    # a document is left out of the join if every text of it equals one of a representative
+    # a document is left out of the join if its set is that of another
     others = written(members.groupBy("doc_id").agg(F.max((F.col("doc_id") == F.col("rep")).cast("int")).alias("is_rep")).where("is_rep = 0").select("doc_id"), "near-others")
     reps = docs.join(small(others), "doc_id", "left_anti")
     posted = reps.mapInArrow(_postings(n, t, frequent, 8 * parts), "bucket int, blob binary")
@@ -391,6 +415,8 @@ def set_join(docs: DataFrame, t: float = THRESHOLD, n: int = N) -> tuple[DataFra
     needed = blocked.select(F.col("block").alias("at"), F.col("a").alias("doc_id")).union(blocked.select("block", "b")).distinct()
     placed = needed.join(sets, "doc_id")
     pairs = blocked.groupBy("block").cogroup(placed.groupBy("at")).applyInArrow(_check(t), "doc_a long, doc_b long, jaccard double")
+    if names is not None:
+        members = written(members.join(names, members["doc_id"] == names["id"], "left").select(F.coalesce("name", "doc_id").alias("doc_id"), "rep").distinct(), "near-members")
     return members, written(pairs.distinct(), "near-pairs")
 
 
@@ -426,6 +452,8 @@ def drop_near_duplicates(docs: DataFrame, t: float = THRESHOLD, n: int = N) -> D
     the least of each group that they are in. Rows in no group stay as they are, null texts and null doc_ids among them."""
     members, pairs = set_join(docs, t, n)
     roots = components(pairs.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")))
-    gone = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("__root")).where("doc_id <> __root").select(F.col("doc_id").alias("__gone")).distinct()
+    grouped = written(members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("__root")), "near-grouped")
+    least = grouped.groupBy("__root").agg(F.min("doc_id").alias("__least"))
+    gone = grouped.join(least, "__root").where("doc_id <> __least").select(F.col("doc_id").alias("__gone")).distinct()
     gone = small(written(gone, "near-gone"))
     return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
