@@ -127,14 +127,14 @@ m AS (SELECT rep, avg(d) AS m FROM draws JOIN k USING (i) GROUP BY rep), l AS (S
 SELECT round(xs[6], 6) AS lo, round(xs[101], 6) AS mid, round(xs[196], 6) AS hi, len(xs)::BIGINT AS n_replicates FROM l"""
 )
 def sta15_paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two hundred resamples of all instances."""
+    """Ten thousand resamples of all instances."""
     d = paired(spark, sf_dir).select("instance", (F.col("hot") - F.col("base")).alias("d"), F.lit(0).alias("all"))
     n = d.groupBy("all").agg(F.count(F.lit(1)).alias("n"))
     numbered = d.withColumn("i", F.row_number().over(Window.partitionBy("all").orderBy("instance")).cast("long") - 1)
-    slots = n.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(199)))).withColumn("slot", F.explode(F.expr("sequence(0L, n - 1)")))
+    slots = n.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(9_999)))).withColumn("slot", F.explode(F.expr("sequence(0L, n - 1)")))
     drawn = slots.select("rep", (X.draw(F.lit(7), "rep", "slot") % F.col("n")).alias("i"))
     means = drawn.join(numbered, "i").groupBy("rep").agg(F.avg("d").alias("m"))
-    out = X.interval(means.withColumn("all", F.lit(0)), ["all"], "m", 200)
+    out = X.interval(means.withColumn("all", F.lit(0)), ["all"], "m", 10_000)
     return out.select(F.round("lo", 6).alias("lo"), F.round("mid", 6).alias("mid"), F.round("hi", 6).alias("hi"), "n_replicates")
 
 
@@ -148,7 +148,7 @@ def sta17_sign_flip_by_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STA16's clusters (nations) under STA17's sign flips."""
     w = paired(spark, sf_dir).join(table(spark, sf_dir, "customer"), F.col("instance") == F.col("c_custkey"))
     k = w.groupBy(F.col("c_nationkey").alias("cluster")).agg((F.avg("hot") - F.avg("base")).alias("d"))
-    return X.sign_flip(k, "cluster", "d", 500)
+    return X.sign_flip(k, "cluster", "d", 10_000)
 
 
 COSINE = """WITH v AS (SELECT vec_id, label, embedding AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings),

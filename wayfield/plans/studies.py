@@ -183,10 +183,10 @@ def sta9_transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def sta10_metric_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Percentile intervals of each model's mean of each measure from 200 resamples of its tasks."""
+    """Percentile intervals of each model's mean of each measure from 1,000 resamples of its tasks."""
     rows = long(observations(spark, sf_dir)).groupBy("model_id", "metric", "task_id").agg(F.avg("x").alias("x"))
     many = rows.groupBy("model_id", "metric").agg(F.count(F.lit(1)).alias("n")).where("n >= 5").drop("n")
-    drawn = X.resampled(rows.join(many, ["model_id", "metric"], "left_semi"), ["model_id", "metric"], ["task_id"], 200)
+    drawn = X.resampled(rows.join(many, ["model_id", "metric"], "left_semi"), ["model_id", "metric"], ["task_id"], 1000)
     means = drawn.groupBy("model_id", "metric", "rep").agg(F.avg("x").alias("m"))
     return means.groupBy("model_id", "metric").agg(F.round(F.percentile("m", F.lit(0.025)), 6).alias("lo"), F.round(F.percentile("m", F.lit(0.975)), 6).alias("hi"), F.round(F.stddev_samp("m"), 6).alias("se"))
 
@@ -200,13 +200,13 @@ m AS (SELECT model_id, event, rep, avg(d) AS s FROM draws JOIN units USING (i) J
 SELECT model_id, event, round(xs[(floor(len(xs) * 0.025))::INT + 1], 6) AS lo, round(xs[least((floor(len(xs) * 0.975))::INT + 1, len(xs))], 6) AS hi, len(xs)::BIGINT AS n_replicates FROM l"""
 )
 def sta11_supply_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One hundred resamples of the tasks; a task drawn twice counts twice."""
+    """Two thousand resamples of the tasks; a task drawn twice counts twice."""
     land = Landscape(spark, sf_dir)
     cell = E.long_events(land.events).groupBy("task_id", "model_id", "event").agg(F.avg("x").alias("m"))
     above = G.kept(cell.select("task_id", "model_id", "event", (F.col("m") - F.avg("m").over(Window.partitionBy("task_id", "event"))).alias("d")), "supply-cells")
     units = land.runs.select("task_id").distinct().withColumn("all", F.lit(0))
-    means = X.resampled(units, ["all"], ["task_id"], 100).join(above, "task_id").groupBy("model_id", "event", "rep").agg(F.avg("d").alias("s"))
-    out = X.interval(means, ["model_id", "event"], "s", 100)
+    means = X.resampled(units, ["all"], ["task_id"], 2000).join(above, "task_id").groupBy("model_id", "event", "rep").agg(F.avg("d").alias("s"))
+    out = X.interval(means, ["model_id", "event"], "s", 2000)
     return out.select("model_id", "event", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"), "n_replicates")
 
 
@@ -220,13 +220,18 @@ l AS (SELECT benchmark, list_sort(list(v) FILTER (v IS NOT NULL)) AS xs FROM d G
 SELECT benchmark, round(xs[(floor(len(xs) * 0.025))::INT + 1], 6) AS lo, round(xs[least((floor(len(xs) * 0.975))::INT + 1, len(xs))], 6) AS hi FROM l"""
 )
 def sta12_demand_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fifty resamples of each benchmark's rollouts: what it demands of the trap event."""
-    rows = G.kept(Landscape(spark, sf_dir).events.select("benchmark", "run_id", "resolved", "trap"), "rollouts")
-    y, x = F.col("resolved"), F.col("trap")
-    good, bad = F.sum(y), F.sum(1 - y)
-    v = F.when((good > 0) & (bad > 0), F.sum(y * x) / good - F.sum((1 - y) * x) / bad)
-    d = X.resampled(rows, ["benchmark"], ["run_id"], 50).groupBy("benchmark", "rep").agg(v.alias("v")).where("v is not null")
-    return X.interval(d, ["benchmark"], "v", 50).select("benchmark", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
+    """Two thousand resamples of each benchmark's rollouts: what it demands of each event; a rollout without the event is left out of it."""
+    rows = G.kept(Landscape(spark, sf_dir).events.select("benchmark", "run_id", "resolved", *E.EVENTS), "rollouts")
+    y = F.col("resolved")
+
+    def demand(event: str):
+        x, has = F.col(event), F.col(event).isNotNull()
+        good, bad = F.sum(F.when(has, y)), F.sum(F.when(has, 1 - y))
+        return F.when((good > 0) & (bad > 0), F.sum(y * x) / good - F.sum((1 - y) * x) / bad)
+
+    drawn = X.resampled(rows, ["benchmark"], ["run_id"], 2000).groupBy("benchmark", "rep").agg(*[demand(e).alias(e) for e in E.EVENTS])
+    d = drawn.select("benchmark", F.inline(F.array(*[F.struct(F.lit(e).alias("event"), F.col(e).alias("v")) for e in E.EVENTS]))).where("v is not null")
+    return X.interval(d, ["benchmark", "event"], "v", 2000).select("benchmark", "event", F.round("mid", 6).alias("median"), F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"), "n_replicates")
 
 
 @query()
