@@ -40,3 +40,21 @@ def test_metric_bootstrap_draws_a_thousand_times(spark, monkeypatch):
     own = studies.X.resampled
     monkeypatch.setattr(studies.X, "resampled", lambda *a: asked.append(a[-1]) or own(*a))
     assert registry.QUERIES["sta10_metric_bootstrap"](spark, SMALL).columns == ["model_id", "metric", "lo", "hi", "se"] and asked == [1_000]
+
+
+def test_cluster_bootstrap_draws_whole_clusters(spark):
+    """Of the replicates that a plain loop over the same draws makes, from the four arms' rows."""
+    import hashlib
+    from collections import defaultdict
+
+    from wayfield.plans import stars
+
+    nation = {r.c_custkey: r.c_nationkey for r in spark.read.parquet(f"{SMALL}/customer.parquet").select("c_custkey", "c_nationkey").collect()}
+    by = defaultdict(list)
+    for r in stars.paired(spark, SMALL).collect():
+        by[nation[r.instance]].append((r.hot - r.base) - (r.note - r.shuffled))
+    d = [sum(by[c]) / len(by[c]) for c in sorted(by)]
+    at = lambda rep, slot: int(hashlib.md5(f"7|{rep}|{slot}|0".encode()).hexdigest()[:8], 16) % len(d)
+    xs = sorted(sum(d[at(rep, slot)] for slot in range(len(d))) / len(d) for rep in range(10_000))
+    (got,) = registry.QUERIES["sta16_cluster_bootstrap"](spark, SMALL).collect()
+    assert (got.lo, got.mid, got.hi) == pytest.approx((xs[250], xs[5000], xs[9750]), abs=2e-6) and got.n_replicates == 10_000

@@ -145,12 +145,29 @@ f AS (SELECT rep, avg(CASE WHEN {HASH.format("'7|' || rep || '|' || cluster")} %
 SELECT round(observed, 6) AS observed, count(*) FILTER (m >= observed - 1e-12) AS n_ge, round((count(*) FILTER (m >= observed - 1e-12) + 1) / (count(*) + 1), 6) AS p FROM f, o GROUP BY observed"""
 )
 def sta17_sign_flip_by_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STA16's clusters (nations) under STA17's sign flips."""
+    """Nations as clusters under STA17's sign flips."""
     w = paired(spark, sf_dir).join(table(spark, sf_dir, "customer"), F.col("instance") == F.col("c_custkey"))
     k = w.groupBy(F.col("c_nationkey").alias("cluster")).agg((F.avg("hot") - F.avg("base")).alias("d"))
     return X.sign_flip(k, "cluster", "d", 10_000)
 
 
+@query(
+    FACTORIAL
+    + f""", k AS (SELECT d, row_number() OVER (ORDER BY cluster) - 1 AS i, count(*) OVER () AS n FROM (SELECT c_nationkey AS cluster, (avg(hot) - avg(base)) - (avg(note) - avg(shuffled)) AS d FROM w JOIN customer ON instance = c_custkey GROUP BY ALL)),
+draws AS (SELECT rep, {HASH.format("'7|' || rep || '|' || slot || '|0'")} % (SELECT max(n) FROM k) AS i FROM (SELECT unnest(range(10000)) AS rep), (SELECT unnest(range((SELECT max(n) FROM k))) AS slot)),
+m AS (SELECT rep, avg(d) AS m FROM draws JOIN k USING (i) GROUP BY rep), l AS (SELECT list_sort(list(m)) AS xs FROM m)
+SELECT round(xs[251], 6) AS lo, round(xs[5001], 6) AS mid, round(xs[9751], 6) AS hi, len(xs)::BIGINT AS n_replicates FROM l"""
+)
+def sta16_cluster_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten thousand resamples of whole nations: the difference in differences of their means of the four arms."""
+    w = paired(spark, sf_dir).join(table(spark, sf_dir, "customer"), F.col("instance") == F.col("c_custkey"))
+    did = (F.avg("hot") - F.avg("base")) - (F.avg("note") - F.avg("shuffled"))
+    k = w.groupBy(F.col("c_nationkey").alias("cluster")).agg(did.alias("d")).withColumn("all", F.lit(0))
+    means = X.resampled(k, ["all"], ["cluster"], 10_000).groupBy("all", "rep").agg(F.avg("d").alias("m"))
+    out = X.interval(means, ["all"], "m", 10_000)
+    return out.select(F.round("lo", 6).alias("lo"), F.round("mid", 6).alias("mid"), F.round("hi", 6).alias("hi"), "n_replicates")
+
+
 COSINE = """WITH v AS (SELECT vec_id, label, embedding AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings),
 knn AS (SELECT i, rank, j, d, li, lj FROM (SELECT a.vec_id AS i, b.vec_id AS j, a.label AS li, b.label AS lj, round(1 - list_dot_product(a.e::DOUBLE[], b.e::DOUBLE[]) / (a.n * b.n), 6) AS d,
   row_number() OVER (PARTITION BY a.vec_id ORDER BY round(1 - list_dot_product(a.e::DOUBLE[], b.e::DOUBLE[]) / (a.n * b.n), 6), b.vec_id) AS rank FROM v a JOIN v b ON a.vec_id <> b.vec_id) WHERE rank <= 6)"""
