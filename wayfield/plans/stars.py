@@ -28,8 +28,9 @@ def joi_left_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT s_suppkey, c_custkey, coalesce(s_nationkey, c_nationkey) AS nation FROM (SELECT s_suppkey, s_nationkey FROM supplier WHERE s_acctbal > 9000) FULL JOIN (SELECT c_custkey, c_nationkey FROM customer WHERE c_acctbal > 9900) ON s_nationkey = c_nationkey")
 def joi_full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = table(spark, sf_dir, "supplier").where("s_acctbal > 9000").select("s_suppkey", "s_nationkey")
-    c = table(spark, sf_dir, "customer").where("c_acctbal > 9900").select("c_custkey", "c_nationkey")
+    """All suppliers and all customers, paired by nation; the result grows with the product of a nation's suppliers and customers."""
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     return s.join(c, F.col("s_nationkey") == F.col("c_nationkey"), "full").select("s_suppkey", "c_custkey", F.coalesce("s_nationkey", "c_nationkey").alias("nation"))
 
 
