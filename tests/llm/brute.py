@@ -67,6 +67,52 @@ def repeats(text: str | None, least: int = 6) -> tuple[float, int]:
     return (sum(s for s, c in zip(size, covered) if c) / sum(size) if w else 0.0), longest
 
 
+def maximal_repeats(text: str | None, least: int = 6) -> int:
+    """Distinct word sequences of ``least`` words or more that occur twice and could be made longer on neither side without losing an occurrence."""
+    w = words(text)
+    found: dict[tuple, list[int]] = {}
+    for i in range(len(w)):
+        for j in range(i + least, len(w) + 1):
+            found.setdefault(tuple(w[i:j]), []).append(i)
+    many = 0
+    for x, at in found.items():
+        before = {w[i - 1] if i else None for i in at}
+        after = {w[i + len(x)] if i + len(x) < len(w) else None for i in at}
+        many += len(at) > 1 and (len(before) > 1 or None in before) and (len(after) > 1 or None in after)
+    return many
+
+
+def license_blocks(text: str | None, templates: dict[str, str], t: float, most: int) -> list[tuple[int, int, str, float]]:
+    """(line, lines, template, containment) of all blocks of at most ``most`` lines that match, and hold no shorter one that does."""
+    lines = [] if text is None else [set(words(x)) for x in text.lower().split("\n")]
+    out = []
+    for name, template in templates.items():
+        own = set(words(template))
+        need = -(-round(t * len(own) * 1000) // 1000)
+        hit = {(i, n): len(own & set().union(*lines[i : i + n])) for i in range(len(lines)) for n in range(1, min(most, len(lines) - i) + 1)}
+        for (i, n), common in hit.items():
+            if own and common >= need and all(hit.get(x, 0) < need for x in ((i, n - 1), (i + 1, n - 1))):
+                out.append((i, n, name, round(common / len(own), 6)))
+    return out
+
+
+def links(rows: list[tuple[int, str]], t: float) -> dict[tuple[int, int], int]:
+    """(doc_id, class): number of similar or equal texts of other documents."""
+    entries = sorted({(d, gram_set(x)) for d, x in rows if d is not None and words(x)}, key=lambda e: (e[0], sorted(e[1])))
+    pairs = [(i, j) for i in range(len(entries)) for j in range(i + 1, len(entries)) if len(entries[i][1] & entries[j][1]) / len(entries[i][1] | entries[j][1]) >= t - 1e-12]
+    root = groups(pairs)
+    least: dict[int, int] = {}
+    for k, (d, _) in enumerate(entries):
+        least[root.get(k, k)] = min(least.get(root.get(k, k), d), d)
+    out: dict[tuple[int, int], int] = {}
+    for i, j in pairs:
+        for x, y in ((i, j), (j, i)):
+            if entries[x][0] != entries[y][0]:
+                key = (entries[x][0], least[root[x]])
+                out[key] = out.get(key, 0) + 1
+    return out
+
+
 def merged(v: dict[tuple[int, int], int], symbols: list[int]) -> list[int]:
     """One word's byte-pair merges, the pair of lowest rank first, from the left."""
     while True:

@@ -55,8 +55,8 @@ def test_stages_in_turn(spark, sf_dir, tmp_path):
     assert Counter(r[0] for r in distinct) == Counter(list(first.values()) + [r[0] for r in good if r[1] is None])
     gone = brute.not_least([r[:2] for r in distinct], 0.6)
     assert gone and sorted(r[0] for r in near) == sorted(r[0] for r in distinct if r[0] not in gone)
-    # the empty text is all that its source has: without a token it has no slot
-    assert {r[0] for r in mixed} == {r[0] for r in near} - {431} and len(mixed) >= len(near)
+    # texts without a token, which may be all that their source has, stay too
+    assert {r[0] for r in mixed} == {r[0] for r in near} and not Counter(r[0] for r in near) - Counter(r[0] for r in mixed)
     assert Counter(r[0] for r in encoded) == Counter(r[0] for r in mixed)
     back = {r.doc_id: r.text for r in bpe.decode(docs).collect()}
     assert back == {r[0]: r[1] for r in mixed}

@@ -8,7 +8,7 @@ duplicates exactly if their texts are equal byte by byte.
 
 Defined results: null texts are never duplicates; empty texts are equal to each other; of equal rows with
 one doc_id one stays; ties go to the earlier file and row; an empty table stays empty; further columns,
-whatever their names, stay as they are.
+whatever their names (_metadata among them), stay as they are; doc_ids may be of any type that has an order.
 """
 
 from __future__ import annotations
@@ -16,17 +16,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import folder, small, written
+from .shared import folder, free, small, written
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _ORDER = ("__null", "__id", "__file", "__row")
 
 
-def located(docs: DataFrame) -> DataFrame:
-    """docs with __file and __row, which tell rows apart; a table that isn't a plain scan is written first."""
-    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation" or "_metadata" in docs.columns:
+def located(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """docs with two further columns and their names, file and row, which tell rows apart; a table that isn't a plain scan is written first."""
+    file, row = free(docs.columns, "__file", "__row")
+    names = docs.columns
+    if "_metadata" in (c.lower() for c in names):
+        docs = written(docs.toDF(*(f"c{k}" for k in range(len(names)))), "dedup-input")
+    elif docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
         docs = written(docs, "dedup-input")
-    return docs.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    own = [F.col(f"`{c}`").alias(name) for c, name in zip(docs.columns, names)]
+    return docs.select(*own, F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(row)), file, row
+
+
+def plain(rows: DataFrame, file: str, row: str) -> DataFrame:
+    """What deduplication needs of located rows."""
+    return rows.select("doc_id", "text", F.col(file).alias("__file"), F.col(row).alias("__row"))
 
 
 def digest(bits: int = 256):
@@ -36,7 +46,7 @@ def digest(bits: int = 256):
 
 def keyed(docs: DataFrame, bits: int = 256) -> DataFrame:
     """What the stream carries of each text: digest, identifier, locator."""
-    return docs.where("text is not null").select(digest(bits).alias("__digest"), F.col("doc_id").isNull().alias("__null"), F.col("doc_id").cast("long").alias("__id"), "__file", "__row")
+    return docs.where("text is not null").select(digest(bits).alias("__digest"), F.col("doc_id").isNull().alias("__null"), F.col("doc_id").alias("__id"), "__file", "__row")
 
 
 def stateful(stream: DataFrame) -> DataFrame:
@@ -78,7 +88,7 @@ def duplicates(docs: DataFrame, bits: int = 256, files_per_trigger: int | None =
     state = run_stream(spark, path, keys.schema, folder(spark, "dedup-state"), folder(spark, "dedup-seen"), files_per_trigger)
     hits = written(state.where("__n > 1").select("__digest", F.col("__keeper.__file").alias("k_file"), F.col("__keeper.__row").alias("k_row")), "dedup-hits")
     content = docs.select("text", "doc_id", "__file", "__row").where("text is not null").withColumn("__digest", digest(bits)).join(small(hits), "__digest")
-    content = written(content.select("__digest", F.col("doc_id").isNull().alias("__null"), F.col("doc_id").cast("long").alias("__id"), "__file", "__row", "text", "k_file", "k_row"), "dedup-content")
+    content = written(content.select("__digest", F.col("doc_id").isNull().alias("__null"), F.col("doc_id").alias("__id"), "__file", "__row", "text", "k_file", "k_row"), "dedup-content")
     is_keeper = (F.col("__file") == F.col("k_file")) & (F.col("__row") == F.col("k_row"))
     kept = content.where(is_keeper).select(F.col("__digest").alias("k_digest"), F.col("text").alias("k_text"))
     compared = content.where(~is_keeper).join(kept, F.col("__digest") == F.col("k_digest"))
@@ -91,14 +101,14 @@ def duplicates(docs: DataFrame, bits: int = 256, files_per_trigger: int | None =
 
 def drop_duplicates(docs: DataFrame, bits: int = 256, files_per_trigger: int | None = None) -> DataFrame:
     """The rows of docs that equal no earlier one."""
-    rows = located(docs)
-    gone = duplicates(rows, bits, files_per_trigger).select("__file", "__row")
-    return rows.join(small(gone), ["__file", "__row"], "left_anti").drop("__file", "__row")
+    rows, file, row = located(docs)
+    gone = duplicates(plain(rows, file, row), bits, files_per_trigger).select(F.col("__file").alias(file), F.col("__row").alias(row))
+    return rows.join(small(gone), [file, row], "left_anti").drop(file, row)
 
 
 def kept_with_copies(docs: DataFrame) -> DataFrame:
     """(doc_id, copies) of each row that stays; copies counts the rows with its text."""
-    rows = located(docs)
+    rows = plain(*located(docs))
     gone = duplicates(rows)
     more = written(gone.groupBy(F.col("k_file").alias("__file"), F.col("k_row").alias("__row")).agg(F.count(F.lit(1)).alias("more")), "dedup-copies")
     rows = rows.select("doc_id", "__file", "__row").join(small(gone.select("__file", "__row")), ["__file", "__row"], "left_anti")

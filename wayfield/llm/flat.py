@@ -26,12 +26,15 @@ _powers: dict[str, np.ndarray] = {}
 
 
 def power(n: int, inverse: bool = False) -> np.ndarray:
-    """Powers 0..n-1 of the hash base (or of its inverse) modulo 2^64, kept for the worker's life."""
+    """Powers 0..n-1 of the hash base (or of its inverse) modulo 2^64; as many as a chunk needs are kept for the worker's life, those of a longer text are not."""
     kept = _powers.get(key := "inverse" if inverse else "base")
     if kept is None or len(kept) < n:
         x = np.full(max(n, CHUNK + 65536), _INVERSE if inverse else _BASE, np.uint64)
         x[0] = 1
-        kept = _powers[key] = np.multiply.accumulate(x)
+        made = np.multiply.accumulate(x)
+        if kept is None:
+            _powers[key] = made[: CHUNK + 65536].copy()
+        return made[:n]
     return kept[:n]
 
 

@@ -2,15 +2,16 @@
 
 The documents of each source stand in shuffled order (by MD5 of seed and doc_id) as one ring of tokens,
 cut into blocks of BLOCK tokens; the last block is filled up from the ring's start. Slot t of the schedule
-is the golden-ratio point (t + 1) * PHI mod 2^32, mapped through the cumulative target weights to a
+is the golden-ratio point (t + 1) * PHI mod 2^32 (which goes through all of them before it starts again), mapped through the cumulative target weights to a
 source; the k-th slot of a source holds its block k modulo its number of blocks, so that a small source
 comes round again. The schedule ends where every block of every source has had a slot: no document
 is dropped. By default the target weight of a source is proportional to tokens^ALPHA.
 
 Tokens are counted as white-space characters plus one (0 for an empty or null text). Defined results: a
-null source counts as ''; sources without tokens or without positive weight have no slot; null doc_ids
+null source counts as ''; sources without positive weight have no slot, nor have those without a token, whose rows :func:`mix`
+keeps once, with a null slot; a weight below a 2^32nd of their sum is a ValueError; null doc_ids
 come last in the shuffled order; ties and repeated rows are ordered by doc_id and then arbitrarily, which
-equal rows don't show; an empty table has no schedule; further columns are ignored by :func:`schedule` and
+equal rows don't show; an empty table has no schedule; further columns, whatever their names, are ignored by :func:`schedule` and
 kept by :func:`mix`.
 """
 
@@ -21,6 +22,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .exact import located
 from .shared import written
 
 BLOCK, ALPHA, SEED = 4096, 0.8, 7
@@ -60,15 +62,23 @@ def plan(totals: dict[str, int], weights: dict[str, float] | None, block: int, a
     for k, s in enumerate(used):
         up_to += chosen[s]
         high = RANGE if k == len(used) - 1 else math.floor(up_to / whole * RANGE)
+        if high <= low:
+            raise ValueError(f"the share of {s!r} is below a 2^32nd")
         out.append((s, low, high, -(-totals[s] // block), totals[s]))
         low = high
     return out
 
 
+def point_of(slot):
+    """(slot + 1) * PHI mod RANGE in parts that stay below 2^63."""
+    n, high, low = F.pmod(slot + 1, F.lit(RANGE)), PHI >> 16, PHI & 0xFFFF
+    return F.pmod(F.pmod(n * F.lit(high), F.lit(1 << 16)) * F.lit(1 << 16) + n * F.lit(low), F.lit(RANGE))
+
+
 def drawn(spark: SparkSession, sources: list[tuple[str, int, int, int, int]], many: int) -> DataFrame:
     """(slot, source, k, blocks): the first ``many`` slots, each the k-th of its source."""
     cuts = F.broadcast(spark.createDataFrame([s[:4] for s in sources], "source string, low long, high long, blocks long"))
-    points = spark.range(many).select(F.col("id").alias("slot"), ((F.col("id") + 1) * F.lit(PHI) % F.lit(RANGE)).alias("point"), F.floor(F.col("id") / STRETCH).alias("stretch"))
+    points = spark.range(many).select(F.col("id").alias("slot"), point_of(F.col("id")).alias("point"), F.floor(F.col("id") / STRETCH).alias("stretch"))
     at = points.join(cuts, (F.col("point") >= F.col("low")) & (F.col("point") < F.col("high"))).withColumn("one", F.lit(1).cast("long"))
     return written(running(at, "source", "stretch", ["slot"], "one", "k").select("slot", "source", "k", "blocks"), "mixing-slots")
 
@@ -80,8 +90,6 @@ def slots(spark: SparkSession, sources: list[tuple[str, int, int, int, int]]) ->
     most = max(blocks * RANGE / max(high - low, 1) for _, low, high, blocks, _ in sources)
     many = int(most * 1.02) + 64 * len(sources) + 64
     while True:
-        if many >= 2**31:
-            raise ValueError("more slots than the schedule has points; take larger blocks")
         ranked = drawn(spark, sources, many)
         end, reached = ranked.where("k = blocks - 1").agg(F.max("slot"), F.count(F.lit(1))).first()
         if reached == len(sources):
@@ -113,14 +121,23 @@ def schedule(docs: DataFrame, weights: dict[str, float] | None = None, block: in
     return order.join(pieces, (order["source"] == pieces["__source"]) & (order["block"] == pieces["__block"])).select("slot", "source", "block", "epoch", "doc_id", "from_token", "to_token")
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
-    """The rows of docs, each as often as the block in which it starts is scheduled; a text of no token stands where the next one starts."""
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, alpha: float = ALPHA, seed: int = SEED, slot: str | None = None) -> DataFrame:
+    """The rows of docs, each as often as the block in which it starts is scheduled; a text of no token stands where the next one starts.
+
+    With ``slot`` the copies carry their slot under that name, by which the rows can be put in the schedule's order. Texts are moved once, when
+    the rows are known by their places."""
     spark = docs.sparkSession
-    names = docs.columns
-    at = written(placed(docs, seed), "mixing-rows")
-    sources = sources_of(at, weights, block, alpha)
+    rows, file, row = located(docs)
+    at = placed(rows.select("doc_id", "source", "text", F.col(file).alias("__file"), F.col(row).alias("__row")), seed)
+    at = written(at.select("__file", "__row", "__source", "__n", "__start"), "mixing-rows")
+    totals = {r[0]: int(r[1] or 0) for r in at.groupBy("__source").agg(F.sum("__n")).collect()}
+    sources = plan(totals, weights, block, alpha)
     blocks = F.broadcast(spark.createDataFrame([(s, b) for s, _, _, b, _ in sources], "__ring string, __blocks long"))
-    times = slots(spark, sources).groupBy(F.col("source").alias("__s"), F.col("block").alias("__b")).agg(F.count(F.lit(1)).alias("__times"))
-    rows = at.join(blocks, F.col("__source") == F.col("__ring")).withColumn("__block", F.least(F.floor(F.col("__start") / block), F.col("__blocks") - 1))
-    again = rows.join(times, (F.col("__source") == F.col("__s")) & (F.col("__block") == F.col("__b"))).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times"))))
-    return again.select(*[F.col(f"`{c}`") for c in names])
+    inside = at.join(blocks, F.col("__source") == F.col("__ring")).withColumn("__block", F.least(F.floor(F.col("__start") / block), F.col("__blocks") - 1))
+    order = slots(spark, sources).select(F.col("source").alias("__s"), F.col("block").alias("__b"), F.col("slot").alias("__slot"))
+    copies = inside.join(order, (F.col("__source") == F.col("__s")) & (F.col("__block") == F.col("__b"))).select("__file", "__row", "__slot")
+    wordless = F.broadcast(spark.createDataFrame([(s,) for s, n in totals.items() if not n], "__ring string"))
+    copies = copies.union(at.join(wordless, F.col("__source") == F.col("__ring")).select("__file", "__row", F.lit(None).cast("long")))
+    again = copies.toDF("__f", "__r", "__slot")
+    keys = (rows[file] == again["__f"]) & (rows[row] == again["__r"])
+    return rows.join(again, keys).select(*[rows[f"`{c}`"] for c in docs.columns], *([again["__slot"].alias(slot)] if slot else []))

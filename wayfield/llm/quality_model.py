@@ -10,7 +10,8 @@ The model is fitted on at most SAMPLE labelled documents, the least by hash of d
 Defined results: a null text counts as empty; an empty text has only its bucket features; labels that
 are null, repeated (the greatest grade counts) or of unknown documents are dropped; with fewer than two
 grades in the sample there is no model: every probability and grade is null and every row is selected.
-Null doc_ids, repeated rows and further columns, whatever their names, stay as they are.
+Null doc_ids, repeated rows and further columns stay as they are; if a column is called __rating, the struct takes the next free
+name (__rating_).
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import flat
-from .shared import tune
+from .shared import free, tune
 
 BITS, SAMPLE, SELECT, GRADES = 16, 5000, 0.5, 3
 ROUNDS, RATE, RIDGE, SCALE = 250, 0.15, 2e-4, 12.0
@@ -92,6 +93,21 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column("doc_id"), batch.column("grade"), pa.array(index, pa.binary()), pa.array(value, pa.binary())], names=["doc_id", "grade", "feature", "value"])
 
 
+def loss_and_slopes(y: np.ndarray, score: np.ndarray, shape: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Mean negative log-likelihood of grades, its slope by each score, and by the free form of the thresholds (theta_0, then log gaps)."""
+    grades = len(shape) + 1
+    theta = np.concatenate([shape[:1], shape[0] + np.cumsum(np.exp(shape[1:]))])
+    edge = np.concatenate([[-np.inf], theta, [np.inf]])
+    hi, lo = (1 / (1 + np.exp(-np.clip(edge[y + d] - score, -40, 40))) for d in (1, 0))
+    p = np.maximum(hi - lo, 1e-12)
+    up, down = hi * (1 - hi) / p, lo * (1 - lo) / p
+    by_edge = np.zeros(grades + 1)
+    np.add.at(by_edge, y + 1, -up / len(y))
+    np.add.at(by_edge, y, down / len(y))
+    tail = np.cumsum(by_edge[1:-1][::-1])[::-1]
+    return float(-np.log(p).mean()), (up - down) / len(y), np.concatenate([tail[:1], tail[1:] * np.exp(shape[1:])])
+
+
 def fit_arrays(rows: list[tuple[int, np.ndarray, np.ndarray]], grades: int = GRADES) -> Model | None:
     """Full-batch Adam on the log-likelihood; rows are (grade, feature numbers, values)."""
     y = np.array([r[0] for r in rows])
@@ -105,26 +121,17 @@ def fit_arrays(rows: list[tuple[int, np.ndarray, np.ndarray]], grades: int = GRA
     base = np.cumsum([max(1, (y == k).sum()) for k in range(grades - 1)]) / (len(y) + grades)
     first = np.log(base / (1 - base))
     # theta_0, then log gaps: the thresholds stay ordered
-    free = np.concatenate([first[:1], np.log(np.maximum(np.diff(first), 1e-3))])
-    m, v = np.zeros(size + len(free)), np.zeros(size + len(free))
+    thresholds = np.concatenate([first[:1], np.log(np.maximum(np.diff(first), 1e-3))])
+    m, v = np.zeros(size + len(thresholds)), np.zeros(size + len(thresholds))
     for step in range(1, ROUNDS + 1):
-        theta = np.concatenate([free[:1], free[0] + np.cumsum(np.exp(free[1:]))])
         score = np.bincount(row, value * w[index], len(rows))
-        edge = np.concatenate([[-np.inf], theta, [np.inf]])
-        hi, lo = (1 / (1 + np.exp(-np.clip(edge[y + d] - score, -40, 40))) for d in (1, 0))
-        p = np.maximum(hi - lo, 1e-12)
-        up, down = hi * (1 - hi) / p, lo * (1 - lo) / p
-        slope = (up - down) / len(rows)  # of the loss by the score
-        by_edge = np.zeros(grades + 1)
-        np.add.at(by_edge, y + 1, -up / len(rows))
-        np.add.at(by_edge, y, down / len(rows))
-        tail = np.cumsum(by_edge[1:-1][::-1])[::-1]
-        g = np.concatenate([np.bincount(index, value * slope[row], size) + RIDGE * w, tail[:1], tail[1:] * np.exp(free[1:])])
+        _, slope, by_threshold = loss_and_slopes(y, score, thresholds)
+        g = np.concatenate([np.bincount(index, value * slope[row], size) + RIDGE * w, by_threshold])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w -= move[:size]
-        free = free - move[size:]
-    return Model(w.astype(np.float32), np.concatenate([free[:1], free[0] + np.cumsum(np.exp(free[1:]))]))
+        thresholds = thresholds - move[size:]
+    return Model(w.astype(np.float32), np.concatenate([thresholds[:1], thresholds[0] + np.cumsum(np.exp(thresholds[1:]))]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
@@ -145,21 +152,23 @@ def score_batch(model: Model, texts: pa.Array) -> np.ndarray:
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """All columns of docs with struct ``__rating`` of expected_grade and tail probability p_good (both null without a model)."""
+    (own_name,) = free(docs.columns, "__rating")
     if model is None:
-        return docs.withColumn("__rating", F.struct(F.lit(None).cast("double").alias("expected_grade"), F.lit(None).cast("double").alias("p_good")))
+        return docs.withColumn(own_name, F.struct(F.lit(None).cast("double").alias("expected_grade"), F.lit(None).cast("double").alias("p_good")))
     tune(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in flat.chunks(batches):
             p = model.probabilities(score_batch(model, batch.column("text")))
             own = pa.StructArray.from_arrays([pa.array(p @ np.arange(p.shape[1])), pa.array(p[:, 1:].sum(axis=1))], names=["expected_grade", "p_good"])
-            yield pa.record_batch([*batch.columns, own], names=[*batch.schema.names, "__rating"])
+            yield pa.record_batch([*batch.columns, own], names=[*batch.schema.names, own_name])
 
     rating = T.StructType().add("expected_grade", "double").add("p_good", "double")
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__rating", rating)]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(own_name, rating)]))
 
 
 def selected(docs: DataFrame, model: Model | None) -> DataFrame:
     """The scored documents that the classifier keeps."""
-    good = F.col("__rating.p_good")
+    (own,) = free(docs.columns, "__rating")
+    good = F.col(f"{own}.p_good")
     return score(docs, model).where(good.isNull() | (good >= SELECT))

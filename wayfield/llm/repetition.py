@@ -2,14 +2,15 @@
 
 The suffixes of all documents of a batch are sorted together by prefix doubling over words (only suffixes
 that aren't told apart yet are sorted again); a suffix never reaches beyond its document. Neighbours in
-that order share their longest common prefix, found from the ranks of all doublings. Each interval of
-neighbours that share LEAST words or more is a maximal repeated substring; the union of all its occurrences'
-spans is what repeats. A document passes if that covers at most COVERED of the bytes of its words and the
+that order share their longest common prefix, found from the ranks of all doublings. An interval of
+neighbours that share LEAST words or more is a repeated substring that can't go on to the right; if its occurrences don't all
+follow the same word either, it is a maximal repeated substring, and counts as one of n_repeats. The union of all
+occurrences' spans is what repeats. A document passes if that covers at most COVERED of the bytes of its words and the
 longest repeat has at most LONGEST words.
 
 Words are compared without regard to case. Defined results: null and empty texts and texts without words
-have no repeats and pass; overlapping occurrences count; null doc_ids, repeated rows and further columns,
-whatever their names, stay as they are.
+have no repeats and pass; overlapping occurrences count; null doc_ids, repeated rows and further columns stay as they
+are; if a column is called __repeats, the struct takes the next free name (__repeats_).
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import flat
-from .shared import tune
+from .shared import free, tune
 
 LEAST, COVERED, LONGEST = 6, 0.9, 60
 
@@ -84,8 +85,8 @@ def common_prefixes(order: np.ndarray, levels: list[np.ndarray], first: np.ndarr
     return out
 
 
-def intervals(shared: np.ndarray) -> np.ndarray:
-    """Places that stand for one interval each: the first of its value above all smaller values before it."""
+def intervals(shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, first, last) of each interval of suffixes that share shared[place] words and aren't part of one that shares as many: suffixes first to last of the order."""
     places = np.flatnonzero(shared)
     before = np.maximum(np.arange(len(shared)) - 1, 0)
     todo = places
@@ -93,7 +94,25 @@ def intervals(shared: np.ndarray) -> np.ndarray:
         # before[p] always skips only larger values, so a jump from a larger value's place is safe
         todo = todo[shared[before[todo]] > shared[todo]]
         before[todo] = before[before[todo]]
-    return places[shared[before[places]] < shared[places]]
+    places = places[shared[before[places]] < shared[places]]
+    closed = np.append(shared, -1)
+    after = np.minimum(np.arange(len(closed)) + 1, len(shared))
+    todo = np.flatnonzero(shared)
+    while len(todo):
+        todo = todo[closed[after[todo]] >= closed[todo]]
+        after[todo] = after[after[todo]]
+    return places, before[places], after[places] - 1
+
+
+def maximal(shared: np.ndarray, order: np.ndarray, words: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Places of the intervals whose suffixes don't all follow the same word; a document's start is unlike any word."""
+    places, low, high = intervals(shared)
+    previous = np.where(order > 0, words[order - 1], np.uint64(0))
+    heads = np.isin(order, first[:-1])
+    other = np.ones(len(order), bool)
+    other[1:] = (previous[1:] != previous[:-1]) | heads[1:] | heads[:-1]
+    changes = np.cumsum(other)
+    return places[changes[high] > changes[low]]
 
 
 def repeats(data: np.ndarray, offsets: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -102,7 +121,8 @@ def repeats(data: np.ndarray, offsets: np.ndarray, least: int = LEAST) -> tuple[
     docs = len(offsets) - 1
     if not len(starts):
         return np.zeros(docs), np.zeros(docs, np.int64), np.zeros(docs, np.int64)
-    order, levels = suffix_order(flat.word_hash(data, starts, ends), first)
+    hashes = flat.word_hash(data, starts, ends)
+    order, levels = suffix_order(hashes, first)
     shared = common_prefixes(order, levels, first, least)
     longest = np.zeros(len(order) + 1, np.int64)
     longest[order] = np.maximum(shared, np.append(shared[1:], 0))
@@ -116,7 +136,7 @@ def repeats(data: np.ndarray, offsets: np.ndarray, least: int = LEAST) -> tuple[
     most = np.zeros(docs, np.int64)
     doc = np.searchsorted(first, where, "right") - 1
     np.maximum.at(most, doc, longest[where])
-    many = np.bincount(np.searchsorted(first, order[intervals(shared)], "right") - 1, minlength=docs)
+    many = np.bincount(np.searchsorted(first, order[maximal(shared, order, hashes, first)], "right") - 1, minlength=docs)
     return fraction, most, many
 
 
@@ -124,18 +144,18 @@ def measure(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """All columns of docs, with struct ``__repeats`` of covered_fraction, longest_repeat and n_repeats."""
     tune(docs.sparkSession)
     kind = T.StructType().add("covered_fraction", "double").add("longest_repeat", "long").add("n_repeats", "long")
-    lowered = docs.withColumn("__lower", F.lower("text"))
+    lower, own_name = free(docs.columns, "__lower", "__repeats")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in flat.chunks(batches, "__lower"):
-            own = repeats(*flat.flat(batch.column("__lower")), least)
+        for batch in flat.chunks(batches, lower):
+            own = repeats(*flat.flat(batch.column(lower)), least)
             own = pa.StructArray.from_arrays([pa.array(x) for x in own], names=kind.names)
-            names = batch.schema.names[:-1]
-            yield pa.record_batch([*batch.columns[:-1], own], names=[*names, "__repeats"])
+            yield pa.record_batch([*batch.columns[:-1], own], names=[*batch.schema.names[:-1], own_name])
 
-    return lowered.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__repeats", kind)]))
+    return docs.withColumn(lower, F.lower("text")).mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(own_name, kind)]))
 
 
 def passing(docs: DataFrame) -> DataFrame:
     """The measured documents that pass the rule."""
-    return measure(docs).where((F.col("__repeats.covered_fraction") <= COVERED) & (F.col("__repeats.longest_repeat") <= LONGEST))
+    (own,) = free(docs.columns, "__repeats")
+    return measure(docs).where((F.col(f"{own}.covered_fraction") <= COVERED) & (F.col(f"{own}.longest_repeat") <= LONGEST))

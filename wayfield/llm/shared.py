@@ -9,13 +9,31 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that may be broadcast, at most; beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
+#: Rows and bytes that may be broadcast, at most; beyond them the join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
 
 
 def tune(spark: SparkSession) -> None:
     """Smaller Arrow batches: one row may be a whole long document."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+
+
+def free(columns: list[str], *names: str) -> list[str]:
+    """Each name, with underscores after it until no column has it in any case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
+def whole_ids(docs: DataFrame) -> None:
+    """Raises TypeError unless doc_id is of a whole-number type (or has no value at all)."""
+    kind = dict(docs.dtypes)["doc_id"]
+    if kind not in ("tinyint", "smallint", "int", "bigint", "void"):
+        raise TypeError(f"doc_id is {kind}; whole numbers are needed")
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -34,9 +52,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """The (already written) table with a broadcast hint if it has no more than ``most`` rows; otherwise the planner joins it by shuffling."""
-    return F.broadcast(df) if df.count() <= most else df
+def small(df: DataFrame, most: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """The (already written) table with a broadcast hint if it has no more than so many rows and bytes; otherwise the planner joins it by shuffling."""
+    wide = sum((F.coalesce(F.length(F.col(f"`{c}`")), F.lit(0)) if t in ("string", "binary") else F.lit(8) for c, t in df.dtypes), F.lit(0))
+    rows, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(wide), F.lit(0))).first()
+    return F.broadcast(df) if rows <= most and size <= most_bytes else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
