@@ -5,16 +5,17 @@ n-gram). A global order (frequent n-grams last, then longer ones first) gives ea
 two sets of Jaccard ``t`` or more share a prefix element. Three kinds of skipping:
 
 * equal sets are found by a 128-bit signature; one of them is joined, the others take over its answers;
-* an inverted list is ordered by set size and position, and a probe jumps over the blocks whose size
-  rules them out and skips entries whose position does; what is left must share enough prefix elements
-  for the threshold, the first of them early enough in both sets;
+* an inverted list is ordered by set size and position and cut into blocks, each with its greatest position, its most elements from
+  a position on and its least size; a probe ends where sizes become too large, and skips whole blocks that these three rule out
+  before it looks at entries; what is left must share enough prefix elements for the threshold, the first of them early enough in both sets;
 * candidates are checked in chains of similar sets: the overlap with a set follows from the overlap
   with the set before it in the chain and the few elements by which the two differ.
 
-Each unordered pair comes out once, as ``doc_a < doc_b``. Defined results: texts that are null or
+:func:`linked` gives one row for each document that has a partner, with its class and how many partners it has; copies aren't
+expanded into pairs. :func:`jaccard_join` gives each unordered pair once, as ``doc_a < doc_b``. Defined results: texts that are null or
 have no word are in no pair; rows with a null doc_id are ignored; a repeated row counts once; a doc_id
-with several texts is never paired with itself; an empty table gives no pairs; other columns, whatever
-their names, are ignored by the join and kept by :func:`drop_near_duplicates`.
+with several texts is never paired with itself; an empty table gives no rows; other columns, whatever
+their names, are ignored by the join and kept by :func:`drop_near_duplicates`; a doc_id that isn't a whole number is a TypeError.
 """
 
 from __future__ import annotations
@@ -29,13 +30,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import flat
-from .shared import small, tune, written
+from .shared import free, small, tune, whole_ids, written
 
 N, THRESHOLD = 2, 0.6
 #: An n-gram in so many sets is frequent; this only changes the order, never the result.
 FREQUENT, FREQUENT_KEYS = 20, 1_000_000
 #: Keys of texts, pairs of list entries, or distinct pairs, that one step of a worker holds; sets of one block of the check; bytes of text taken at once.
 HELD, SLAB, PAIRS, BLOCK, CHUNK = 2_000_000, 250_000, 1_000_000, 400, 1 << 20
+#: Entries of a block of a list.
+SKIP = 16
 _HEAVY = np.uint64(1 << 63)
 
 
@@ -201,10 +204,8 @@ def _postings(n: int, t: float, frequent: Frequent, buckets: int):
 
 
 def ordered_lists(key: np.ndarray, doc: np.ndarray, size: np.ndarray, pos: np.ndarray, t: float) -> tuple[np.ndarray, ...]:
-    """(doc, size, pos, far) of entries by list, size and document; an entry's partners stand behind it, up to ``far``, where sizes become too large.
-
-    A pair of documents thus stands in the same order in each of its lists."""
-    order = np.lexsort((doc, size, key))
+    """(doc, size, pos, far) of entries by list, size and position; an entry's partners stand behind it, up to ``far``, where sizes become too large."""
+    order = np.lexsort((doc, pos, size, key))
     key, doc, size, pos = key[order], doc[order], size[order], pos[order]
     place = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]])) << 32
     far = np.searchsorted(place | size, place | np.floor(size / t + 1e-9).astype(np.int64), "right")
@@ -219,25 +220,40 @@ def passes(doc: np.ndarray, many: np.ndarray, documents: int) -> Iterator[np.nda
     yield from (np.sort(x) for x in np.split(order, np.flatnonzero(np.diff(part[order])) + 1))
 
 
-def list_pairs(doc: np.ndarray, size: np.ndarray, pos: np.ndarray, far: np.ndarray, chosen: np.ndarray, t: float) -> Iterator[tuple]:
+def list_pairs(doc: np.ndarray, size: np.ndarray, pos: np.ndarray, far: np.ndarray, chosen: np.ndarray, t: float, tested: list[int] | None = None) -> Iterator[tuple]:
     """Pairs of the chosen entries with those behind them that sizes and positions allow, in bounded slabs: (doc, doc, early).
 
     At most min(pos) elements can be common before a common one and min(size - pos) from it on; ``early``
-    pairs have enough of the latter alone, as the first common element of a similar pair must."""
-    edge = np.concatenate([[0], np.cumsum(np.maximum(far[chosen] - chosen - 1, 0))])
+    pairs have enough of the latter alone, as the first common element of a similar pair must. tested: gets how many entries were in reach,
+    and how many were looked at."""
+    rest, heads = size - pos, np.arange(0, len(doc), SKIP)
+    most_rest, most_pos, least_size = np.maximum.reduceat(rest, heads), np.maximum.reduceat(pos, heads), np.minimum.reduceat(size, heads)
+    first = (chosen + 1) // SKIP
+    edge = np.concatenate([[0], np.cumsum(np.where(far[chosen] > chosen + 1, (far[chosen] - 1) // SKIP - first + 1, 0))])
     for c in range(0, int(edge[-1]), SLAB):
         at = np.arange(c, min(int(edge[-1]), c + SLAB))
         k = np.searchsorted(edge, at, "right") - 1
-        i = chosen[k]
-        j = at - edge[k] + i + 1
-        need, rest = least_overlap(size[i], size[j], t), np.minimum(size[i] - pos[i], size[j] - pos[j])
-        fits = (rest + np.minimum(pos[i], pos[j]) >= need) & (doc[i] != doc[j])
-        i, j, early = i[fits], j[fits], (rest >= need)[fits]
-        yield doc[i], doc[j], early
+        i, block = chosen[k], first[k] + at - edge[k]
+        need = least_overlap(size[i], np.maximum(least_size[block], size[i]), t)
+        open_ = np.flatnonzero(np.minimum(rest[i], most_rest[block]) + np.minimum(pos[i], most_pos[block]) >= need)
+        i, low = i[open_], np.maximum(block[open_] * SKIP, i[open_] + 1)
+        many = np.minimum((block[open_] + 1) * SKIP, far[i]) - low
+        if tested is not None:
+            tested[0] += int((np.minimum((block + 1) * SKIP, far[chosen[k]]) - np.maximum(block * SKIP, chosen[k] + 1)).sum())
+            tested[1] += int(many.sum())
+        for part in range(0, len(i), SLAB // SKIP):
+            own = slice(part, part + SLAB // SKIP)
+            x = np.repeat(i[own], many[own])
+            y = np.arange(len(x)) - np.repeat(np.cumsum(many[own]) - many[own], many[own]) + np.repeat(low[own], many[own])
+            need, left = least_overlap(size[x], size[y], t), np.minimum(rest[x], rest[y])
+            fits = (left + np.minimum(pos[x], pos[y]) >= need) & (doc[x] != doc[y])
+            x, y, early = x[fits], y[fits], (left >= need)[fits]
+            if len(x):
+                yield np.minimum(doc[x], doc[y]), np.maximum(doc[x], doc[y]), early
 
 
 def _candidates(t: float):
-    """Rows (a, b, n, early, sa, sb): n prefix elements of this partition's keys are in both sets, so many of them early."""
+    """Rows (a, b, shared, sizes): prefix elements of this partition's keys in both sets, and how many of them are early (the high half); sizes of a (the high half) and b."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[list[np.ndarray]] = [[], [], [], []]
@@ -276,7 +292,7 @@ def _candidates(t: float):
                 n = count[k : k + 200_000]
                 low = ids[a] < ids[b]
                 first, second = np.where(low, a, b), np.where(low, b, a)
-                yield pa.record_batch([pa.array(ids[first]), pa.array(ids[second]), pa.array(n & 0xFFFFFF), pa.array(n >> 24), pa.array(sizes[first]), pa.array(sizes[second])], names=["a", "b", "n", "early", "sa", "sb"])
+                yield pa.record_batch([pa.array(ids[first]), pa.array(ids[second]), pa.array((n & 0xFFFFFF) | n >> 24 << 32), pa.array(sizes[first] << 32 | sizes[second])], names=["a", "b", "shared", "sizes"])
         del doc, size, pos, far
         flat.release()
 
@@ -377,12 +393,13 @@ def separated(docs: DataFrame, own: DataFrame, n: int) -> tuple[DataFrame, DataF
     return rest.union(texts), own.join(small(several), "doc_id", "left_anti").union(sets), apart.select("id", F.col("doc_id").alias("name"))
 
 
-def set_join(docs: DataFrame, t: float = THRESHOLD, n: int = N) -> tuple[DataFrame, DataFrame]:
-    """(members, pairs): each document with the representative of each of its sets; and similar representatives.
+def set_join(docs: DataFrame, t: float = THRESHOLD, n: int = N) -> tuple[DataFrame, DataFrame, bool]:
+    """(members, pairs, several): each document with the representative of each of its sets; similar representatives; whether a document has several sets.
 
     A representative is the least doc_id with its set, or stands for a text of a doc_id with several sets."""
     spark = docs.sparkSession
     tune(spark)
+    whole_ids(docs)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text")).where("doc_id is not null and text is not null")
     survey = written(docs.mapInArrow(_survey(n), SURVEY), "near-survey")
@@ -395,10 +412,11 @@ def set_join(docs: DataFrame, t: float = THRESHOLD, n: int = N) -> tuple[DataFra
     others = written(members.groupBy("doc_id").agg(F.max((F.col("doc_id") == F.col("rep")).cast("int")).alias("is_rep")).where("is_rep = 0").select("doc_id"), "near-others")
     reps = docs.join(small(others), "doc_id", "left_anti")
     posted = reps.mapInArrow(_postings(n, t, frequent, 8 * parts), "bucket int, blob binary")
-    found = posted.repartition(parts, "bucket").mapInArrow(_candidates(t), "a long, b long, n long, early long, sa long, sb long")
+    found = posted.repartition(parts, "bucket").mapInArrow(_candidates(t), "a long, b long, shared long, sizes long")
     # what is common beyond the common prefix elements lies behind the prefix that ends first, which may be the larger set's
-    enough = F.col("n") + F.ceil(F.lit(t) * F.greatest("sa", "sb") - 1e-9) - 1 >= F.ceil(F.lit(t / (1 + t)) * (F.col("sa") + F.col("sb")) - 1e-9)
-    candidates = written(found.groupBy("a", "b").agg(F.sum("n").alias("n"), F.sum("early").alias("early"), F.max("sa").alias("sa"), F.max("sb").alias("sb")).where(enough & (F.col("early") > 0)).select("a", "b"), "near-candidates")
+    low, high = (lambda c: F.col(c).bitwiseAND(0xFFFFFFFF)), (lambda c: F.shiftright(c, 32))
+    enough = low("shared") + F.ceil(F.lit(t) * F.greatest(low("sizes"), high("sizes")) - 1e-9) - 1 >= F.ceil(F.lit(t / (1 + t)) * (low("sizes") + high("sizes")) - 1e-9)
+    candidates = written(found.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.first("sizes").alias("sizes")).where(enough & (high("shared") > 0)).select("a", "b"), "near-candidates")
     wanted = written(candidates.select(F.col("a").alias("doc_id")).union(candidates.select("b")).distinct(), "near-wanted")
     sets = reps.join(small(wanted), "doc_id", "left_semi").mapInArrow(_sets(n), "doc_id long, keys binary")
     # pairs of one group of similar sets are checked together, in blocks of bounded size
@@ -417,18 +435,39 @@ def set_join(docs: DataFrame, t: float = THRESHOLD, n: int = N) -> tuple[DataFra
     pairs = blocked.groupBy("block").cogroup(placed.groupBy("at")).applyInArrow(_check(t), "doc_a long, doc_b long, jaccard double")
     if names is not None:
         members = written(members.join(names, members["doc_id"] == names["id"], "left").select(F.coalesce("name", "doc_id").alias("doc_id"), "rep").distinct(), "near-members")
-    return members, written(pairs.distinct(), "near-pairs")
+    return members, written(pairs, "near-pairs"), names is not None
+
+
+def linked(docs: DataFrame, t: float = THRESHOLD, n: int = N) -> DataFrame:
+    """(doc_id, class_id, n_links) of every document that is similar to another one.
+
+    Similar pairs connect texts to classes; class_id is the least doc_id of the class. n_links counts the texts of other
+    documents that are similar or equal to the document's text, copies too, without making pairs of copies. A doc_id with several texts has
+    a row for each class that they are in."""
+    members, pairs, several = set_join(docs, t, n)
+    size = written(members.groupBy("rep").agg(F.count(F.lit(1)).alias("size")), "near-sizes")
+    both = pairs.select(F.col("doc_a").alias("rep"), F.col("doc_b").alias("other")).union(pairs.select("doc_b", "doc_a"))
+    partners = both.join(size.withColumnRenamed("rep", "other"), "other").groupBy("rep").agg(F.sum("size").alias("partners"))
+    roots = components(pairs.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))).withColumnRenamed("node", "rep")
+    sets = size.join(partners, "rep", "left").join(roots, "rep", "left").select("rep", F.coalesce("root", "rep").alias("class_id"), (F.col("size") - 1 + F.coalesce("partners", F.lit(0))).alias("n_links")).where("n_links > 0")
+    out = members.join(sets, "rep")
+    if several:
+        # a document's own texts aren't its partners, and representatives may be texts
+        least = out.groupBy("class_id").agg(F.min("doc_id").alias("least"))
+        many = members.join(small(written(members.groupBy("doc_id").count().where("count > 1").select("doc_id"), "near-many")), "doc_id", "left_semi")
+        own = both.join(many, "rep").join(many.select(F.col("doc_id").alias("same"), F.col("rep").alias("other")), "other").where("doc_id = same").groupBy("doc_id", "rep").agg(F.count(F.lit(1)).alias("own"))
+        out = out.join(own, ["doc_id", "rep"], "left").join(least, "class_id").groupBy("doc_id", F.col("least").alias("class_id")).agg(F.sum(F.col("n_links") - F.coalesce("own", F.lit(0))).alias("n_links")).where("n_links > 0")
+    return out.select("doc_id", "class_id", "n_links")
 
 
 def jaccard_join(docs: DataFrame, t: float = THRESHOLD, n: int = N) -> DataFrame:
     """All pairs (doc_a, doc_b, jaccard) of Jaccard t or more; equal sets take over their representative's answers."""
-    members, pairs = set_join(docs, t, n)
+    members, pairs, several = set_join(docs, t, n)
     a, b = members.select(F.col("doc_id").alias("x"), F.col("rep").alias("doc_a")), members.select(F.col("doc_id").alias("y"), F.col("rep").alias("doc_b"))
     near = pairs.join(a, "doc_a").join(b, "doc_b").select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "jaccard")
     equal = members.alias("l").join(members.alias("r"), F.expr("l.rep = r.rep and l.doc_id < r.doc_id")).select(F.col("l.doc_id").alias("doc_a"), F.col("r.doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
-    multiple = members.groupBy("doc_id").count().where("count > 1").limit(1).count()
     out = near.where("doc_a < doc_b").union(equal)
-    return out.groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard")) if multiple else out
+    return out.groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard")) if several else out
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -450,10 +489,11 @@ def drop_near_duplicates(docs: DataFrame, t: float = THRESHOLD, n: int = N) -> D
 
     Texts connect groups, not identifiers: a doc_id with several texts goes with all its rows unless it is
     the least of each group that they are in. Rows in no group stay as they are, null texts and null doc_ids among them."""
-    members, pairs = set_join(docs, t, n)
+    members, pairs, _ = set_join(docs, t, n)
     roots = components(pairs.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")))
-    grouped = written(members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("__root")), "near-grouped")
-    least = grouped.groupBy("__root").agg(F.min("doc_id").alias("__least"))
-    gone = grouped.join(least, "__root").where("doc_id <> __least").select(F.col("doc_id").alias("__gone")).distinct()
+    grouped = written(members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("root")), "near-grouped")
+    least = grouped.groupBy("root").agg(F.min("doc_id").alias("least"))
+    (gone_id,) = free(docs.columns, "__gone")
+    gone = grouped.join(least, "root").where("doc_id <> least").select(F.col("doc_id").alias(gone_id)).distinct()
     gone = small(written(gone, "near-gone"))
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    return docs.join(gone, docs["doc_id"] == gone[gone_id], "left_anti")

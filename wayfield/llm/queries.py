@@ -30,7 +30,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines that hold a licence template."""
+    """Blocks of one to eight lines that hold a licence template."""
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
@@ -58,8 +58,8 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of documents of word-bigram Jaccard 0.6 or more."""
-    return near.jaccard_join(table(spark, sf_dir, "documents"))
+    """Class and number of links of each document that has word-bigram Jaccard 0.6 or more with another one."""
+    return near.linked(table(spark, sf_dir, "documents"))
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,14 +113,19 @@ pieces AS (
 SELECT slot, s.source, s.block, epoch, doc_id, (greatest(s.block * 4096, first) - first)::BIGINT AS from_token, (least((s.block + 1) * 4096, first + n) - first)::BIGINT AS to_token
 FROM slots s JOIN pieces p ON s.source = p.source AND s.block = p.block""",
     "op9_ngram_jaccard_join": r"""
-WITH words AS (
-  SELECT doc_id, regexp_extract_all(lower(text), '[^\x00-/:-`{-\x7f]+') AS w FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
-grams AS (
-  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 2 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) WHEN len(w) = 1 THEN [w[1]] ELSE [] END) AS g FROM words),
-sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
-common AS (
-  SELECT l.doc_id AS doc_a, r.doc_id AS doc_b, count(*) AS n FROM grams l JOIN grams r ON l.g = r.g AND l.doc_id < r.doc_id GROUP BY ALL)
-SELECT doc_a, doc_b, round(c.n / (a.n + b.n - c.n), 6) AS jaccard
-FROM common c JOIN sizes a ON a.doc_id = doc_a JOIN sizes b ON b.doc_id = doc_b
-WHERE c.n / (a.n + b.n - c.n) >= 0.6""",
+WITH RECURSIVE words AS (
+  SELECT DISTINCT doc_id, regexp_extract_all(lower(text), '[^\x00-/:-@\[-`{-\x7f]+') AS w FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+texts AS (
+  SELECT DISTINCT doc_id, list_sort(list_distinct(CASE WHEN len(w) >= 2 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END)) AS grams FROM words WHERE len(w) > 0),
+entries AS (SELECT doc_id, dense_rank() OVER (ORDER BY grams) AS s, grams FROM texts),
+sets AS (SELECT DISTINCT s, grams FROM entries),
+grams AS (SELECT s, unnest(grams) AS g FROM sets),
+common AS (SELECT l.s AS a, r.s AS b, count(*) AS n FROM grams l JOIN grams r ON l.g = r.g AND l.s < r.s GROUP BY ALL),
+similar_sets AS (SELECT c.a, c.b FROM common c JOIN sets x ON x.s = c.a JOIN sets y ON y.s = c.b WHERE c.n / (len(x.grams) + len(y.grams) - c.n) >= 0.6),
+near AS (SELECT a, b FROM similar_sets UNION ALL SELECT b, a FROM similar_sets UNION ALL SELECT s, s FROM sets),
+reach(s, other) AS (SELECT a, b FROM near UNION SELECT r.s, n.b FROM reach r JOIN near n ON n.a = r.other),
+classes AS (SELECT r.s, min(e.doc_id) AS class_id FROM reach r JOIN entries e ON e.s = r.other GROUP BY r.s)
+SELECT e.doc_id, class_id, count(*) AS n_links
+FROM entries e JOIN near n ON n.a = e.s JOIN entries o ON o.s = n.b AND o.doc_id <> e.doc_id JOIN classes c ON c.s = e.s
+GROUP BY ALL""",
 }
