@@ -7,13 +7,14 @@ only raise a level, and needs HASHES false bits for each.
 
     p(w | u) = L * min(1, c(u w) / c(u)) + (1 - L) * (c(w) + 1) / (N + V)     (without a u: the last factor)
 
-The filter is cut into segments, each made by one task from its own keys and sized by them, so that it grows with the
-corpus at BITS bits per entry. Bigrams stand in the segment of their first word. Where the segments have more than
-MOST bytes, they are broadcast a part at a time: a pass scores the words whose predecessor belongs to its
-part, and the passes' sums are added up, with the same result. The unigrams' filter is broadcast with each pass.
+The filter is cut into segments by the n-gram's hash, each made by one task from its own keys and sized by them, so that
+it grows with the corpus at BITS bits per entry and no segment is larger than others. A filter of at most MOST bytes is
+broadcast, and each chunk of texts probes it for its distinct n-grams. A larger one stays where its segments are: the
+chunks' distinct n-grams are sent there once, and their levels back, with the same result in one pass over the corpus.
 
 Defined results: words are lower-cased; null, empty and wordless texts have 0 words and a null score; null
-doc_ids, repeated rows and further columns, whatever their names, stay as they are.
+doc_ids, repeated rows and further columns stay as they are; if a column is called __lm, the struct takes
+the next free name (__lm_).
 """
 
 from __future__ import annotations
@@ -23,28 +24,39 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import flat
 from .near import packed, unpacked
-from .shared import tune, written
+from .shared import free, tune, written
 
-BITS, HASHES, MIX, MOST = 8, 5, 0.7, 512 << 20
-#: Entries that a task counts before it sends them on.
-HELD = 3_000_000
+BITS, HASHES, MIX, MOST = 8, 5, 0.7, 128 << 20
+#: Entries that a task counts before it sends them on; bytes of text whose n-grams are looked up together where the filter isn't broadcast.
+HELD, SENT = 3_000_000, 256 << 10
 _PAIR = np.uint64(0xD6E8FEB86659FD93)
 
 
-def pair_hash(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    return flat.mix(left * _PAIR + right)
+def word_key(word: np.ndarray) -> np.ndarray:
+    """Key of a unigram; the last bit tells it from a bigram's."""
+    return word & ~np.uint64(1)
 
 
-def positions(keys: np.ndarray, level: int, size: np.ndarray | int) -> Iterator[np.ndarray]:
-    """Bits of an n-gram's level, one array for each hash."""
-    for k in range(HASHES):
-        yield flat.mix(keys + np.uint64((level * 64 + k + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1))) % size
+def pair_key(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return flat.mix(left * _PAIR + right) | np.uint64(1)
+
+
+def hashed(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two hashes of n-grams at a level from which all places of their bits follow."""
+    first = flat.mix(keys + np.uint64(level * 0x9E3779B97F4A7C15 & (2**64 - 1)))
+    return first, flat.mix(first ^ _PAIR)
+
+
+def place(first: np.ndarray, second: np.ndarray, k: int, size: np.ndarray) -> np.ndarray:
+    """Bit of the k-th hash in a segment of ``size`` bits, fewer than 2^32."""
+    return ((first + np.uint64(k) * second) >> np.uint64(32)) * size >> np.uint64(32)
 
 
 def levels_of(counts: np.ndarray) -> np.ndarray:
@@ -53,90 +65,121 @@ def levels_of(counts: np.ndarray) -> np.ndarray:
 
 def middle(levels: np.ndarray) -> np.ndarray:
     """The count that a level stands for; 0 for level 0."""
-    return np.where(levels > 0, (3.0 * np.exp2(levels - 1) - 1) / 2, 0.0)
+    return np.where(levels > 0, (3.0 * np.exp2(levels - 1.0) - 1) / 2, 0.0)
 
 
 def segment(keys: np.ndarray, counts: np.ndarray) -> tuple[int, bytes]:
     """(bits, bytes) of the filter of these n-grams."""
     levels = levels_of(counts)
     size = max(64, int(levels.sum()) * BITS)
+    if size >= 2**32:
+        raise ValueError("a segment of 512 MB; set spark.sql.shuffle.partitions higher")
     bits = np.zeros(size, bool)
     for level in range(1, int(levels.max(initial=0)) + 1):
-        for at in positions(keys[levels >= level], level, np.uint64(size)):
-            bits[at] = True
+        h = hashed(keys[levels >= level], level)
+        for k in range(HASHES):
+            bits[place(*h, k, np.uint64(size))] = True
     return size, np.packbits(bits, bitorder="little").tobytes()
 
 
 @dataclass(frozen=True)
 class Filter:
-    """Segments in one array: bytes, first byte and bits of each segment (0 bits: a segment that isn't here)."""
+    """Segments in one array: bytes, first byte and bits of each segment (0 bits: a segment without n-grams)."""
 
     data: np.ndarray
     first: np.ndarray
     bits: np.ndarray
 
     def levels(self, keys: np.ndarray, where: np.ndarray) -> np.ndarray:
+        """Level of each n-gram by repeated membership probes, all of one level before the next."""
         out = np.zeros(len(keys), np.int64)
         live = np.flatnonzero(self.bits[where] > 0)
-        keys, first, size = keys[live], self.first[where[live]], self.bits[where[live]].astype(np.uint64)
+        keys, start, size = keys[live], self.first[where[live]].astype(np.uint64) << np.uint64(3), self.bits[where[live]].astype(np.uint64)
         level = 1
         while len(live):
+            one, two = hashed(keys, level)
             for k in range(HASHES):
-                at = flat.mix(keys + np.uint64((level * 64 + k + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1))) % size
-                hit = (self.data[first + (at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
-                live, keys, first, size = live[hit], keys[hit], first[hit], size[hit]
+                at = start + place(one, two, k, size)
+                hit = np.flatnonzero(self.data[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & np.uint8(1))
+                if len(hit) < len(live):
+                    live, keys, start, size, one, two = live[hit], keys[hit], start[hit], size[hit], one[hit], two[hit]
             out[live] = level
             level += 1
         return out
 
 
-def assemble(rows: list[tuple[int, int, bytes]], segments: int) -> Filter:
-    first, bits, at = np.zeros(segments, np.int64), np.zeros(segments, np.int64), 0
+def assemble(rows: list[tuple[int, int, bytes]], buckets: int) -> Filter:
+    first, bits, at = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64), 0
     for number, size, blob in rows:
         first[number], bits[number] = at, size
         at += len(blob)
     return Filter(np.frombuffer(b"".join(r[2] for r in rows), np.uint8), first, bits)
 
 
-def _hashes(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    data, offsets = flat.flat(batch.column("__lower"))
-    starts, ends, first = flat.words(data, offsets)
-    return flat.word_hash(data, starts, ends), first
+def bucket_of(keys: np.ndarray, segments: int) -> np.ndarray:
+    """2 s for unigrams and 2 s + 1 for bigrams of segment s."""
+    return (flat.mix(keys) % np.uint64(segments) << np.uint64(1) | keys & np.uint64(1)).astype(np.int32)
+
 
+@dataclass(frozen=True)
+class Grams:
+    """A chunk's words (hashes), first word of each document, and the place of each bigram's first word."""
 
-def _segment_of(first_word: np.ndarray, segments: int) -> np.ndarray:
-    return (flat.mix(first_word) % np.uint64(segments)).astype(np.int64)
+    words: np.ndarray
+    first: np.ndarray
+    left: np.ndarray
+
+    @staticmethod
+    def of(column: pa.Array) -> Grams:
+        data, offsets = flat.flat(column)
+        starts, ends, first = flat.words(data, offsets)
+        inner = np.ones(len(starts), bool)
+        inner[first[1:][first[1:] > 0] - 1] = False
+        return Grams(flat.word_hash(data, starts, ends), first, np.flatnonzero(inner))
+
+    def distinct(self, segments: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(keys, buckets) of the distinct n-grams in an order that depends on nothing else; and which of them each word and each bigram is."""
+        one, which_one = np.unique(word_key(self.words), return_inverse=True)
+        two, which_two = np.unique(pair_key(self.words[self.left], self.words[self.left + 1]), return_inverse=True)
+        keys = np.concatenate([one, two])
+        return keys, bucket_of(keys, segments), which_one, len(one) + which_two
+
+    def scores(self, levels: np.ndarray, which_one: np.ndarray, which_two: np.ndarray, n: int, kinds: int) -> pa.StructArray:
+        """n_words and log2p of each document from the levels of its distinct n-grams."""
+        count = middle(levels)
+        one, two = count[which_one], count[which_two]
+        base = (one + 1) / (n + kinds)
+        each = np.log2(base)
+        each[self.left + 1] = np.log2(MIX * np.minimum(1, two / np.maximum(one[self.left], 1)) + (1 - MIX) * base[self.left + 1])
+        many = np.diff(self.first)
+        return pa.StructArray.from_arrays([pa.array(many), pa.array(flat.sums(each, self.first), mask=many == 0)], names=["n_words", "log2p"])
 
 
 def _count(segments: int):
-    """Rows (bucket, blob): counted n-grams of one segment; bucket 2 s for unigrams, 2 s + 1 for bigrams."""
+    """Rows (bucket, blob): counted n-grams of one bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[np.ndarray] = []
         total = 0
 
         def rows() -> pa.RecordBatch:
-            keys, buckets = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-            order = np.lexsort((keys, buckets))
-            keys, buckets = keys[order], buckets[order]
-            at = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (buckets[1:] != buckets[:-1])]))
-            counts, keys, buckets = np.diff(np.append(at, len(keys))).astype(np.int32), keys[at], buckets[at]
+            keys = np.sort(np.concatenate(held))
+            at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            counts, keys = np.diff(np.append(at, len(keys))).astype(np.int32), keys[at]
+            buckets = bucket_of(keys, segments)
+            order = np.argsort(buckets, kind="stable")
+            keys, counts, buckets = keys[order], counts[order], buckets[order]
             ids, cut = np.unique(buckets, return_index=True)
             cut = [*cut.tolist(), len(keys)]
             blobs = [packed([keys[a:b], counts[a:b]]) for a, b in zip(cut, cut[1:])]
             return pa.record_batch([pa.array(ids), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
-        for batch in flat.chunks(batches, "__lower"):
-            words, first = _hashes(batch)
-            if len(words) < 1:
+        for batch in flat.chunks(batches):
+            g = Grams.of(batch.column("text"))
+            if not len(g.words):
                 continue
-            inner = np.ones(len(words), bool)
-            inner[first[1:][first[1:] > 0] - 1] = False
-            left = np.flatnonzero(inner)
-            left = left[left + 1 < len(words)]
-            where = _segment_of(words, segments)
-            held.append((np.concatenate([words, pair_hash(words[left], words[left + 1])]), np.concatenate([2 * where, 2 * where[left] + 1])))
-            total += len(held[-1][0])
+            held += [word_key(g.words), pair_key(g.words[g.left], g.words[g.left + 1])]
+            total += len(g.words) + len(g.left)
             if total > HELD:
                 yield rows()
                 held, total = [], 0
@@ -160,7 +203,8 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         counts = np.add.reduceat(counts.astype(np.int64), at)
         bits, blob = segment(keys[at], counts)
-        yield pa.record_batch([pa.array([bucket]), pa.array([bits]), pa.array([blob], pa.binary()), pa.array([int(counts.sum())]), pa.array([len(at)])], names=["bucket", "bits", "filter", "n", "kinds"])
+        yield pa.record_batch([pa.array([bucket], pa.int32()), pa.array([bits]), pa.array([blob], pa.binary()), pa.array([int(counts.sum())]), pa.array([len(at)])], names=["bucket", "bits", "filter", "n", "kinds"])
+    flat.release()
 
 
 def filters(docs: DataFrame) -> tuple[DataFrame, int]:
@@ -169,66 +213,112 @@ def filters(docs: DataFrame) -> tuple[DataFrame, int]:
     tune(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     segments = 4 * parts
-    counted = docs.select(F.lower("text").alias("__lower")).mapInArrow(_count(segments), "bucket long, blob binary")
-    return written(counted.repartition(parts, "bucket").mapInArrow(_build, "bucket long, bits long, filter binary, n long, kinds long"), "lm-filters"), segments
+    counted = docs.select(F.lower("text").alias("text")).mapInArrow(_count(segments), "bucket int, blob binary")
+    return written(counted.repartition(parts, "bucket").mapInArrow(_build, "bucket int, bits long, filter binary, n long, kinds long"), "lm-filters"), segments
+
 
+KIND = T.StructType().add("n_words", "long").add("log2p", "double")
+
+
+def broadcast_scores(docs: DataFrame, rows: DataFrame, segments: int, n: int, kinds: int, lower: str, own: str) -> DataFrame:
+    """docs (with lower-cased texts as their last column) scored with the whole filter in each worker."""
+    spark = docs.sparkSession
+    got = [(r.bucket, r.bits, bytes(r.filter)) for r in rows.select("bucket", "bits", "filter").toLocalIterator()]
+    shared = spark.sparkContext.broadcast(assemble(sorted(got), 2 * segments))
 
-def _score(unigrams, bigrams, n: int, kinds: int, segments: int, names: list[str], first_pass: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, two = unigrams.value, bigrams.value
-        for batch in flat.chunks(batches, "__lower"):
-            words, first = _hashes(batch)
-            where = _segment_of(words, segments)
-            each = np.zeros(len(words))
-            starts = np.zeros(len(words) + 1, bool)
-            starts[first[:-1]] = True
-            starts = starts[: len(words)]
-            base = (middle(one.levels(words, where)) + 1) / (n + kinds)
-            if first_pass:
-                each[starts] = np.log2(base[starts])
-            right = np.flatnonzero(~starts)
-            right = right[two.bits[where[right - 1]] > 0]
-            both = middle(two.levels(pair_hash(words[right - 1], words[right]), where[right - 1]))
-            context = np.maximum(middle(one.levels(words[right - 1], where[right - 1])), 1)
-            each[right] = np.log2(MIX * np.minimum(1, both / context) + (1 - MIX) * base[right])
-            own = pa.StructArray.from_arrays([pa.array(np.diff(first)), pa.array(flat.sums(each, first))], names=["n_words", "log2p"])
-            yield pa.record_batch([*batch.columns[:-1], own], names=[*names, "__lm"])
+        for batch in flat.chunks(batches, lower):
+            g = Grams.of(batch.column(lower))
+            keys, buckets, one, two = g.distinct(segments)
+            scores = g.scores(shared.value.levels(keys, buckets), one, two, n, kinds)
+            yield pa.record_batch([*batch.columns[:-1], scores], names=[*batch.schema.names[:-1], own])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields[:-1], T.StructField(own, KIND)]))
 
-    return run
+
+def sent_scores(docs: DataFrame, rows: DataFrame, segments: int, n: int, kinds: int, lower: str, own: str) -> DataFrame:
+    """The same where the filter is too large to broadcast: chunks send their distinct n-grams to the segments, which send the levels back.
+
+    Chunks are written once under numbers of their own, so that a task that runs again finds the same ones."""
+    spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        for batch in flat.chunks(batches, lower, most=SENT):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, batch.schema) as out:
+                out.write_batch(batch)
+            yield pa.record_batch([pa.array([number]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "data"])
+            number += 1
+
+    def opened(blob: pa.Scalar) -> pa.RecordBatch:
+        return pa.ipc.open_stream(blob.as_buffer()).read_next_batch()
+
+    def split(buckets: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        """(partition of segments, places of its n-grams)."""
+        home = buckets // 2 % parts
+        order = np.argsort(home, kind="stable")
+        ids, at = np.unique(home[order], return_index=True)
+        return list(zip(ids.tolist(), np.split(order, at[1:])))
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, blob in zip(batch.column("chunk").to_pylist(), batch.column("data")):
+                keys, buckets, _, _ = Grams.of(opened(blob).column(lower)).distinct(segments)
+                homes = split(buckets)
+                yield pa.record_batch([pa.array([h for h, _ in homes], pa.int32()), pa.array([chunk] * len(homes), pa.int64()), pa.array([packed([keys[at], buckets[at]]) for _, at in homes], pa.binary())], names=["home", "chunk", "data"])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each home first the filters, then the questions."""
+        got: list[tuple[int, int, bytes]] = []
+        at, known = None, None
+        for batch in batches:
+            out = []
+            for home, number, bits, blob in zip(batch.column("home").to_pylist(), batch.column("number").to_pylist(), batch.column("bits").to_pylist(), batch.column("data")):
+                if home != at:
+                    got, at, known = [], home, None
+                if bits is not None:
+                    got.append((number, bits, blob.as_py()))
+                    continue
+                if known is None:
+                    known, got = assemble(got, 2 * segments), []
+                keys, buckets = unpacked(memoryview(blob.as_buffer()), ("u8", "i4"))
+                out.append((number, home, known.levels(keys, buckets).astype(np.uint8).tobytes()))
+            if out:
+                yield pa.record_batch([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.binary())], names=["chunk", "home", "data"])
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """First the answers to a chunk, then the chunk."""
+        levels: dict[int, bytes] = {}
+        for batch in batches:
+            for home, blob in zip(batch.column("home").to_pylist(), batch.column("data")):
+                if home is not None:
+                    levels[home] = blob.as_py()
+                    continue
+                chunk = opened(blob)
+                g = Grams.of(chunk.column(lower))
+                keys, buckets, one, two = g.distinct(segments)
+                found = np.zeros(len(keys), np.int64)
+                for h, at in split(buckets):
+                    found[at] = np.frombuffer(levels[h], np.uint8)
+                levels.clear()
+                yield pa.record_batch([*chunk.columns[:-1], g.scores(found, one, two, n, kinds)], names=[*chunk.schema.names[:-1], own])
+
+    chunks = written(docs.mapInArrow(cut, "chunk long, data binary"), "lm-chunks")
+    ask = chunks.mapInArrow(asked, "home int, chunk long, data binary").select("home", F.col("chunk").alias("number"), F.lit(None).cast("long").alias("bits"), "data")
+    have = rows.select((F.floor(F.col("bucket") / 2) % parts).cast("int").alias("home"), F.col("bucket").cast("long").alias("number"), "bits", F.col("filter").alias("data"))
+    met = have.union(ask).withColumn("late", F.col("bits").isNull()).repartition(parts, "home").sortWithinPartitions("home", "late").drop("late")
+    answers = met.mapInArrow(answer, "chunk long, home int, data binary")
+    back = answers.union(chunks.select("chunk", F.lit(None).cast("int").alias("home"), "data"))
+    back = back.withColumn("late", F.col("home").isNull()).repartition(parts, "chunk").sortWithinPartitions("chunk", "late")
+    return back.drop("late").mapInArrow(finish, T.StructType([*docs.schema.fields[:-1], T.StructField(own, KIND)]))
 
 
 def score(docs: DataFrame, most: int = MOST) -> DataFrame:
     """All columns of docs with struct ``__lm`` of n_words and log2p, the sum over the words."""
-    spark = docs.sparkSession
     rows, segments = filters(docs)
-    sizes = rows.select("bucket", F.length("filter").alias("bytes"), "n", "kinds").collect()
-    n, kinds = sum(r.n for r in sizes if r.bucket % 2 == 0), sum(r.kinds for r in sizes if r.bucket % 2 == 0)
-    passes: list[list[int]] = [[]]
-    room = most
-    for r in sorted(sizes):
-        if r.bucket % 2:
-            if r.bytes > room and passes[-1]:
-                passes.append([])
-                room = most
-            passes[-1].append(r.bucket)
-            room -= r.bytes
-
-    def gathered(df: DataFrame):
-        got = [(r.bucket // 2, r.bits, bytes(r.filter)) for r in df.select("bucket", "bits", "filter").orderBy("bucket").toLocalIterator()]
-        return spark.sparkContext.broadcast(assemble(got, segments))
-
-    one = gathered(rows.where("bucket % 2 = 0"))
-    kind = T.StructType().add("n_words", "long").add("log2p", "double")
-    names = docs.columns
-    fields = list(docs.schema.fields)
-    out = docs
-    for k, chosen in enumerate(passes):
-        two = gathered(rows.where(F.col("bucket").isin(chosen)) if len(passes) > 1 else rows.where("bucket % 2 = 1"))
-        scored = out.withColumn("__lower", F.lower("text")).mapInArrow(_score(one, two, n, kinds, segments, [f.name for f in fields], k == 0), T.StructType([*fields, T.StructField("__lm", kind)]))
-        if len(passes) == 1:
-            return scored
-        # the pass's sums travel with the rows, which need no key
-        before = F.coalesce(F.col("__sum"), F.lit(0.0)) if k else F.lit(0.0)
-        out = written(scored.select(*[F.col(f"`{c}`") for c in names], (before + F.col("__lm.log2p")).alias("__sum"), F.col("__lm.n_words").alias("__words")), "lm-pass")
-        fields = list(out.schema.fields)
-    return out.select(*[F.col(f"`{c}`") for c in names], F.struct(F.col("__words").alias("n_words"), F.col("__sum").alias("log2p")).alias("__lm"))
+    size, n, kinds = rows.agg(F.sum(F.length("filter")), F.sum(F.when(F.col("bucket") % 2 == 0, F.col("n"))), F.sum(F.when(F.col("bucket") % 2 == 0, F.col("kinds")))).first()
+    lower, own = free(docs.columns, "__lower", "__lm")
+    texts = docs.withColumn(lower, F.lower("text"))
+    return (broadcast_scores if (size or 0) <= most else sent_scores)(texts, rows, segments, n or 0, kinds or 0, lower, own)
