@@ -6,8 +6,8 @@ binary search over the sorted keys of all pairs that join to a token, and only f
 Decoding gathers the bytes of all tokens of a batch at once.
 
 Defined results: a null text has null tokens, an empty one an empty list, and null token lists decode to
-null; special tokens' strings are ordinary text; null doc_ids, repeated rows and further columns, whatever
-their names, stay as they are.
+null; special tokens' strings are ordinary text; null doc_ids, repeated rows and further columns stay as they are;
+if one of these is called tokens or round_trip, the result's column takes the next free name (tokens_).
 """
 
 from __future__ import annotations
@@ -23,10 +23,10 @@ from pyspark.sql import types as T
 
 from . import flat
 from .pretoken import split, unique_spans
-from .shared import tune
+from .shared import free, tune
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-CHUNK = 8 << 20
+CHUNK = 1 << 20
 NONE = np.int32(2**31 - 1)
 
 
@@ -68,7 +68,7 @@ def merge_rounds(v: Vocabulary, symbols: np.ndarray, first: np.ndarray) -> tuple
         return np.where(v.pairs[at] == key, v.ranks[at], NONE)
 
     words = len(first) - 1
-    word = np.repeat(np.arange(words), np.diff(first))
+    word = np.repeat(np.arange(words, dtype=np.int32), np.diff(first))
     rank = np.full(len(symbols), NONE, np.int32)
     if len(symbols) > 1:
         inner = np.flatnonzero(word[1:] == word[:-1])
@@ -157,8 +157,9 @@ def encode(docs: DataFrame, path: str = VOCABULARY, check: bool = False, name: s
     tune(docs.sparkSession)
     vocabulary = docs.sparkSession.sparkContext.broadcast(load(path))
     names = [c for c in docs.columns if c != "text"]
+    name, trip = free(names, name, "round_trip")
     schema = T.StructType([f for f in docs.schema.fields if f.name != "text"]).add(name, T.ArrayType(T.IntegerType()))
-    schema = schema.add("round_trip", "boolean") if check else schema
+    schema = schema.add(trip, "boolean") if check else schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary.value
