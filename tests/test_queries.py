@@ -16,11 +16,17 @@ def test_query_equals_its_sql(spark, name):
     assert difference(spark, registry.QUERIES[name], registry.SQL[name], SMALL) == ""
 
 
-@pytest.mark.parametrize("name", ["gra3_biconnected_blocks", "gra8_task_graphs", "mdp2_committor", "mdp13_matched_controls", "agg38_dynamics", "sta6_nested_logistic", "joi3_library_similarity"])
+@pytest.mark.parametrize("name", ["gra3_biconnected_blocks", "gra8_task_graphs", "mdp2_committor", "mdp13_matched_controls", "agg38_dynamics", "joi3_library_similarity", "key17_parsed_responses"])
 def test_query_has_rows(spark, name):
     assert registry.QUERIES[name](spark, SMALL).count() > 0
 
 
+def test_nested_logistic_needs_ten_observations(spark):
+    """Five tasks and models of the smallest tables are too few for a fit; ten times as many are enough."""
+    assert registry.QUERIES["sta6_nested_logistic"](spark, SMALL).count() == 0
+    assert [r.model for r in registry.QUERIES["sta6_nested_logistic"](spark, f"{TESTDATA}/sf0.01").collect()] == ["benchmarks", "models", "measures"]
+
+
 def test_flagship_is_what_the_driver_runs(spark):
     import __spark_entry__ as entry
 

@@ -185,8 +185,12 @@ GENERIC = r"(?i)failed|command not found|\bnot\s+found\b|" + whole("denied error
 
 def hard_error(cls: str, text: str) -> Column:
     """A real failure in the first 4000 characters; after Python, any word for an error will do."""
+    return hard_error_of(F.col(cls), F.col(text))
+
+
+def hard_error_of(cls: Column, text: Column) -> Column:
     head = F.substring(text, 1, 4000)
-    return head.rlike("(?i)" + HARD) | (F.col(cls).isin("pytest", "python") & head.rlike("(?i)" + whole("error exception failed failure")))
+    return head.rlike("(?i)" + HARD) | (cls.isin("pytest", "python") & head.rlike("(?i)" + whole("error exception failed failure")))
 
 
 def generic_error(text: str) -> Column:

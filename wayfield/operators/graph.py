@@ -8,18 +8,25 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """Written to the cluster's shared folder and read again, so that plans stay short and survive a lost executor."""
-    spark = df.sparkSession
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder under the cluster's shared checkpoint folder; without one, a local folder, but only where Spark itself runs on one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "wayfield-checkpoints")
         spark.conf.set("spark.checkpoint.dir", base)
-    df.write.parquet(path := f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """Written to the cluster's shared folder and read again, so that plans stay short and survive a lost executor."""
+    spark = df.sparkSession
+    df.write.parquet(path := folder(spark, name))
     return spark.read.schema(df.schema).parquet(path)
 
 

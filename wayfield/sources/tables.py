@@ -13,17 +13,22 @@ ROLLOUT = f"instance_id STRING, arm STRING, seed INT, resolved BOOLEAN, n_trigge
 
 
 def trajectories(spark: SparkSession, root: str) -> DataFrame:
-    """All trajectories of root/<benchmark>/<task_id>.jsonl; blank lines are skipped, empty files give no rows."""
+    """All trajectories of root/<benchmark>/<task_id>.jsonl with their place in the file; blank lines are skipped, empty files give no rows."""
     path = F.input_file_name()
-    return spark.read.schema(TRAJECTORY).json(f"{root}/*/*.jsonl").select(F.regexp_extract(path, r"([^/]+)/[^/]+\.jsonl$", 1).alias("benchmark"), F.regexp_extract(path, r"([^/]+)\.jsonl$", 1).alias("task_id"), "*")
+    return spark.read.schema(TRAJECTORY).json(f"{root}/*/*.jsonl").select(F.regexp_extract(path, r"([^/]+)/[^/]+\.jsonl$", 1).alias("benchmark"), F.regexp_extract(path, r"([^/]+)\.jsonl$", 1).alias("task_id"), "*", F.monotonically_increasing_id().alias("place"))
 
 
 def outcomes(parsed: DataFrame) -> DataFrame:
-    """(benchmark, task_id, run_str, model_id, score, raw_reward, task_max): of rows with one run name the last in (model, run) order counts."""
-    name = F.coalesce("run_id", F.concat("model_id", F.lit("__pass"), F.coalesce("metadata.pass", F.lit(""))))
+    """(benchmark, task_id, run_str, model_id, score, raw_reward, task_max): of rows with one run name the last in the file counts; rows with neither a run nor a pass are dropped.
+
+    parsed as :func:`trajectories` has it; without its ``place``, the last in (model, run, score) order counts."""
+    tag = F.col("metadata.pass")
+    name = F.coalesce("run_id", F.concat("model_id", F.lit("__"), F.when(F.startswith(tag, F.lit("pass")), tag).otherwise(F.concat(F.lit("pass"), tag))))
     score = F.coalesce("metadata.resolved_score", F.col("resolved").cast("double"), F.lit(0.0))
-    rows = parsed.select("benchmark", "task_id", name.alias("run_str"), "model_id", score.alias("score"), F.col("metadata.raw_reward").alias("raw_reward"), F.col("metadata.task_max_reward").alias("task_max"))
-    return rows.groupBy("benchmark", "task_id", "run_str").agg(F.max_by(F.struct("model_id", "score", "raw_reward", "task_max"), F.struct("model_id", "score")).alias("r")).select("benchmark", "task_id", "run_str", "r.*")
+    place = F.col("place") if "place" in parsed.columns else F.struct("model_id", "run_id", score.alias("score"))
+    rows = parsed.select("benchmark", "task_id", name.alias("run_str"), "model_id", score.alias("score"), F.col("metadata.raw_reward").alias("raw_reward"), F.col("metadata.task_max_reward").alias("task_max"), place.alias("place"))
+    last = F.max_by(F.struct("model_id", "score", "raw_reward", "task_max"), "place").alias("r")
+    return rows.where("run_str is not null").groupBy("benchmark", "task_id", "run_str").agg(last).select("benchmark", "task_id", "run_str", "r.*")
 
 
 def steps(parsed: DataFrame, text: int = 500) -> DataFrame:
@@ -54,9 +59,18 @@ def paired_tsv(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("instance_id", *[F.col(f"`{c}`").cast("int").alias(c) for c in rows.columns if c != "instance_id"])
 
 
-def factorial(rollouts: DataFrame, arms: list[str]) -> DataFrame:
-    """instance_id with one column for each arm (the greatest outcome of repeats); only instances that have all arms."""
-    return rollouts.where(F.col("arm").isin(arms)).groupBy("instance_id").pivot("arm", arms).agg(F.max(F.col("resolved").cast("int"))).dropna(subset=arms)
+def factorial(rollouts: DataFrame, arms: list[str], order: str | None = None, flags_of: str | None = None) -> DataFrame:
+    """instance_id with one column for each arm; only instances that have all arms.
+
+    Of repeats the last by the column ``order`` counts (without one, the greatest outcome). With ``flags_of`` the columns called prefix_* of that arm's rows go along."""
+    y = F.col("resolved").cast("int")
+    rows = rollouts.where(F.col("arm").isin(arms))
+    own = rows.groupBy("instance_id").pivot("arm", arms).agg(F.max_by(y, F.col(order)) if order else F.max(y)).dropna(subset=arms)
+    flags = [c for c in rollouts.columns if c.startswith("prefix_")]
+    if not flags_of or not flags:
+        return own
+    last = F.max_by(F.struct(*flags), F.col(order)) if order else F.max(F.struct(*flags))
+    return own.join(rows.where(F.col("arm") == flags_of).groupBy("instance_id").agg(last.alias("f")), "instance_id", "left").select(*own.columns, "f.*")
 
 
 def rollouts(spark: SparkSession, *paths: str) -> DataFrame:
@@ -86,8 +100,18 @@ def reports(spark: SparkSession, *paths: str) -> DataFrame:
 
 
 def merged(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """rollouts with the harness's verdict; without one they count as failed."""
-    return rows.drop("resolved").join(found, "instance_id", "left").withColumn("resolved", F.coalesce("resolved", F.lit(False)))
+    """rollouts with the harness's verdict on (arm, instance), as far as ``found`` has arms; without one they count as failed."""
+    keys = [c for c in ("arm", "instance_id") if c in found.columns]
+    return rows.drop("resolved").join(found.select(*keys, F.col("resolved")), keys, "left").withColumn("resolved", F.coalesce("resolved", F.lit(False)))
+
+
+def arm_reports(spark: SparkSession, paths: dict[str, list[str]]) -> DataFrame:
+    """(arm, instance_id, resolved, status): the harness reports of each arm."""
+    parts = [reports(spark, *own).select(F.lit(arm).alias("arm"), "*") for arm, own in paths.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
+    return out
 
 
 def predictions(rows: DataFrame, arm: str, tag: str) -> DataFrame:
@@ -116,3 +140,17 @@ def write_jsonl(df: DataFrame, path: str) -> None:
 
 def write_tsv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, sep="\t", header=True)
+
+
+def dynamics(spark: SparkSession, *paths: str) -> DataFrame:
+    """Stored measures, one line of JSON a task with a map ``per_model``; the schema is found in the files."""
+    rows = spark.read.json(list(paths))
+    kinds = [f for f in rows.schema["per_model"].dataType.fields]
+    body = kinds[0].dataType.simpleString() if kinds else "struct<n_runs:bigint>"
+    return rows.withColumn("per_model", F.from_json(F.to_json("per_model"), f"map<string,{body}>"))
+
+
+def observations(rows: DataFrame) -> DataFrame:
+    """One row a task and model: the maps' entries beside the task's own columns."""
+    own = [c for c in rows.columns if c != "per_model"]
+    return rows.select(*own, F.explode("per_model").alias("model_id", "m")).select(*own, "model_id", "m.*")
