@@ -195,7 +195,7 @@ def sta10_metric_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     PRELUDE
     + """, cell AS (SELECT task_id, model_id, event, avg(x) AS m FROM long WHERE x IS NOT NULL GROUP BY ALL), above AS (SELECT *, m - avg(m) OVER (PARTITION BY task_id, event) AS d FROM cell),
 units AS (SELECT task_id, row_number() OVER (ORDER BY task_id) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT task_id FROM runs)),
-draws AS (SELECT rep, slot, ('0x' || substr(md5('7|' || rep || '|' || slot || '|0'), 1, 8))::BIGINT % (SELECT max(n) FROM units) AS i FROM (SELECT unnest(range(100)) AS rep), (SELECT unnest(range((SELECT max(n) FROM units))) AS slot)),
+draws AS (SELECT rep, slot, ('0x' || substr(md5('7|' || rep || '|' || slot || '|0'), 1, 8))::BIGINT % (SELECT max(n) FROM units) AS i FROM (SELECT unnest(range(2000)) AS rep), (SELECT unnest(range((SELECT max(n) FROM units))) AS slot)),
 m AS (SELECT model_id, event, rep, avg(d) AS s FROM draws JOIN units USING (i) JOIN above USING (task_id) GROUP BY ALL), l AS (SELECT model_id, event, list_sort(list(s)) AS xs FROM m GROUP BY ALL)
 SELECT model_id, event, round(xs[(floor(len(xs) * 0.025))::INT + 1], 6) AS lo, round(xs[least((floor(len(xs) * 0.975))::INT + 1, len(xs))], 6) AS hi, len(xs)::BIGINT AS n_replicates FROM l"""
 )
@@ -210,14 +210,20 @@ def sta11_supply_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("model_id", "event", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"), "n_replicates")
 
 
+DEMAND = "CASE WHEN sum(resolved) FILTER ({e} IS NOT NULL) > 0 AND sum(1 - resolved) FILTER ({e} IS NOT NULL) > 0 THEN sum(resolved * {e}) / sum(resolved) FILTER ({e} IS NOT NULL) - sum((1 - resolved) * {e}) / sum(1 - resolved) FILTER ({e} IS NOT NULL) END"
+
+
 @query(
     PRELUDE
     + """, units AS (SELECT *, row_number() OVER (PARTITION BY benchmark ORDER BY run_id) - 1 AS i, count(*) OVER (PARTITION BY benchmark) AS n FROM rollout),
-sizes AS (SELECT DISTINCT benchmark, n FROM units),
-draws AS (SELECT benchmark, rep, slot, ('0x' || substr(md5('7|' || rep || '|' || slot || '|' || benchmark), 1, 8))::BIGINT % n AS i FROM (SELECT benchmark, n, unnest(range(n)) AS slot FROM sizes), (SELECT unnest(range(50)) AS rep)),
-d AS (SELECT benchmark, rep, CASE WHEN sum(resolved) > 0 AND sum(1 - resolved) > 0 THEN sum(resolved * trap) / sum(resolved) - sum((1 - resolved) * trap) / sum(1 - resolved) END AS v FROM draws JOIN units USING (benchmark, i) GROUP BY ALL),
-l AS (SELECT benchmark, list_sort(list(v) FILTER (v IS NOT NULL)) AS xs FROM d GROUP BY ALL)
-SELECT benchmark, round(xs[(floor(len(xs) * 0.025))::INT + 1], 6) AS lo, round(xs[least((floor(len(xs) * 0.975))::INT + 1, len(xs))], 6) AS hi FROM l"""
+draws AS (SELECT benchmark, rep, slot, ('0x' || substr(md5('7|' || rep || '|' || slot || '|' || benchmark), 1, 8))::BIGINT % n AS i FROM (SELECT benchmark, n, unnest(range(n)) AS slot FROM (SELECT DISTINCT benchmark, n FROM units)), (SELECT unnest(range(2000)) AS rep)),
+drawn AS (SELECT benchmark, rep, """
+    + ", ".join(f"{DEMAND.format(e=e)} AS {e}" for e in E.EVENTS)
+    + """ FROM draws JOIN units USING (benchmark, i) GROUP BY ALL),
+d AS ("""
+    + " UNION ALL ".join(f"SELECT benchmark, '{e}' AS event, {e} AS v FROM drawn" for e in E.EVENTS)
+    + """), l AS (SELECT benchmark, event, list_sort(list(v)) AS xs FROM d WHERE v IS NOT NULL GROUP BY ALL)
+SELECT benchmark, event, round(xs[len(xs) // 2 + 1], 6) AS median, round(xs[floor(len(xs) * 0.025)::INT + 1], 6) AS lo, round(xs[floor(len(xs) * 0.975)::INT + 1], 6) AS hi, len(xs)::BIGINT AS n_replicates FROM l"""
 )
 def sta12_demand_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two thousand resamples of each benchmark's rollouts: what it demands of each event; a rollout without the event is left out of it."""
