@@ -292,3 +292,41 @@ def test_text_helpers(spark):
     df = spark.createDataFrame([("a\nb Error: x\nc",), ("",), (None,), ("one\ntwo\n\n",)], "t string")
     assert [r[0] for r in df.select(K.error_summary("t")).collect()] == ["b Error: x", "(no observation captured)", "(no observation captured)", "two"]
     assert spark.createDataFrame([("x" * 9,)], "t string").select(K.truncated("t", 5)).first()[0] == "xxxx…"
+
+
+def test_real_chain_has_every_run_and_the_blocks_of_the_graph(spark):
+    """Events from neighbours on: blocks are those of the step graph, supply sums to nothing over the models of a task."""
+    from wayfield.plans import real, registry
+
+    sf = "/root/testdata/sf0.001"
+    land = real.RealLandscape(spark, sf)
+    blocks = {(r.task_id, r.block_id) for r in registry.QUERIES["gra3_biconnected_blocks"](spark, sf).where("n_nodes > 2").select("task_id", "block_id").distinct().collect()}
+    assert blocks and {(r.task_id, r.block_id) for r in land.members.select("task_id", "block_id").distinct().collect()} == blocks
+    several = land.members.groupBy("event_id").count().agg({"count": "max"}).first()[0]
+    assert several > 1  # an articulation point is in more than one block
+    events = real.real_rollout_events(spark, sf).collect()
+    assert len({r.run_id for r in events}) == len(events) == 15
+    for e in ("access", "trap", "repair"):
+        assert {getattr(r, e) for r in events} <= {0, 1}
+
+
+def test_key_conditions_apart_give_what_each_gives_alone(spark):
+    """All conditions in one pass of the chain: the full keys' tasks have the measures of the landscape without conditions."""
+    from wayfield.plans import real
+    from wayfield.plans.chains import Dynamics
+
+    sf = "/root/testdata/sf0.001"
+    land, names = real.conditioned(spark, sf)
+    kept = lambda df: {(r.task_id, r.model_id): (r.committor_dp and round(r.committor_dp, 9), r.core_visit_rate) for r in df.select("task_id", "model_id", "committor_dp", "core_visit_rate").collect()}
+    own = kept(Dynamics(spark, sf, real.RealLandscape(spark, sf)).table())
+    many = kept(Dynamics(spark, sf, land).table())
+    assert names[0] == "full" and own == {(t // len(names), m): v for (t, m), v in many.items() if t % len(names) == 0}
+
+
+def test_transfer_is_resampled_and_permuted(spark):
+    from wayfield.plans import studies
+
+    rows = spark.createDataFrame([("b", f"m{k}", float(k), float(k)) for k in range(6)] + [("c", f"m{k}", float(-k), float(k)) for k in range(6)], "held string, model_id string, score double, rate double")
+    got = {r.held: r for r in studies.resampled_taus(rows, 100, 60).collect()}
+    assert (got["b"].tau, got["b"].lo, got["b"].hi) == (1.0, 1.0, 1.0) and got["b"].permutation_p < 0.1
+    assert (got["c"].tau, got["c"].hi) == (-1.0, -1.0) and got["c"].permutation_p == 1.0

@@ -103,8 +103,8 @@ class Dynamics:
 
     BY = ["task_id", "model_id"]
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.land = Landscape(spark, sf_dir)
+    def __init__(self, spark: SparkSession, sf_dir: str, land: Landscape | None = None):
+        self.land = land or Landscape(spark, sf_dir)
 
     def core_visits(self) -> DataFrame:
         """AGG20: share of the task's core blocks that the model's runs visit."""

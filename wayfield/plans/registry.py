@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chains, columns, detectors, dialogues, landscapes, stars, studies  # noqa: F401  (they register their queries)
+from . import chains, columns, detectors, dialogues, landscapes, real, stars, studies  # noqa: F401  (they register their queries)
 from .register import QUERIES, SQL
 
 __all__ = ["FLAGSHIP", "QUERIES", "SQL"]

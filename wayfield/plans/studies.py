@@ -166,9 +166,8 @@ def sta7_ols_demand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.ols(axes(observations(spark, sf_dir)), ["benchmark"], "resolve_rate", [f"c_{a}" for a in AXES])
 
 
-@query()
-def sta9_transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each held-out benchmark: tau of the models' rates there with supply elsewhere times mean demand elsewhere."""
+def transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(held, model_id, score, rate): for each held-out benchmark supply elsewhere times mean demand elsewhere, and the models' rates there."""
     a = axes(observations(spark, sf_dir)).withColumn("all", F.lit(0))
     folds = a.select(F.col("benchmark").alias("held")).distinct()
     elsewhere = a.crossJoin(F.broadcast(folds)).where("benchmark <> held")
@@ -177,8 +176,34 @@ def sta9_transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = d.select("held", *[F.col(x).alias(f"d_{x}") for x in AXES])
     score = reduce(lambda s, x: s + F.col(x) * F.col(f"d_{x}"), AXES[1:], F.col(AXES[0]) * F.col(f"d_{AXES[0]}"))
     rates = a.groupBy(F.col("benchmark").alias("held"), "model_id").agg(F.avg("resolve_rate").alias("rate"))
-    rows = supply.join(d, "held").withColumn("score", score).join(rates, ["held", "model_id"])
-    return X.kendall_tau(rows, ["held"], "model_id", "score", "rate")
+    return supply.join(d, "held").withColumn("score", score).join(rates, ["held", "model_id"]).select("held", "model_id", "score", "rate")
+
+
+@query()
+def sta9_transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each held-out benchmark: tau of the models' rates there with supply elsewhere times mean demand elsewhere."""
+    return X.kendall_tau(transfer(spark, sf_dir), ["held"], "model_id", "score", "rate")
+
+
+def resampled_taus(rows: DataFrame, draws: int = 1000, permutations: int = 500) -> DataFrame:
+    """(held, tau, lo, hi, n_bootstrap, permutation_p): percentiles over resampled models, and the share of shuffled scores that do as well."""
+    tau = X.kendall_tau(rows, ["held"], "model_id", "score", "rate").where("tau is not null").select("held", "tau")
+    boot = X.kendall_tau(X.resampled(rows, ["held"], ["model_id"], draws), ["held", "rep"], "slot", "score", "rate").where("tau is not null")
+    ends = boot.groupBy("held").agg(F.percentile("tau", F.lit(0.025)).alias("lo"), F.percentile("tau", F.lit(0.975)).alias("hi"), F.count(F.lit(1)).alias("n_bootstrap"))
+    again = rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
+    w = Window.partitionBy("held", "rep")
+    own = again.select("held", "rep", "model_id", "rate", F.row_number().over(w.orderBy("model_id")).alias("place"))
+    other = again.select("held", "rep", "score", F.row_number().over(w.orderBy(X.draw(F.lit(7), "rep", "model_id"), "model_id")).alias("place"))
+    shuffled = X.kendall_tau(own.join(other, ["held", "rep", "place"]), ["held", "rep"], "model_id", "score", "rate").where("tau is not null").withColumnRenamed("tau", "t")
+    p = shuffled.join(F.broadcast(tau), "held").groupBy("held").agg(((1 + F.count_if(F.col("t") >= F.col("tau"))) / (1 + F.count(F.lit(1)))).alias("p"))
+    out = tau.join(ends, "held", "left").join(p, "held", "left")
+    return out.select("held", "tau", F.round("lo", 4).alias("lo"), F.round("hi", 4).alias("hi"), "n_bootstrap", F.round(F.coalesce("p", F.lit(1.0)), 4).alias("permutation_p"))
+
+
+@query()
+def sta9_transfer_resampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STA9's taus with intervals from 1,000 resamples of the models and p-values from 500 permutations."""
+    return resampled_taus(G.kept(transfer(spark, sf_dir), "transfer"))
 
 
 @query()
