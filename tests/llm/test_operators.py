@@ -419,6 +419,34 @@ def test_language_model_that_is_not_broadcast_gives_the_same(docs):
     assert len(one) == len(many) and all(one[k].n_words == many[k].n_words and one[k].log2p == (many[k].log2p and pytest.approx(many[k].log2p)) for k in one)
 
 
+def test_language_model_sends_a_row_for_each_group_and_segment(spark, tmp_path):
+    """Rows for groups of 256 KB took longer than the n-grams in them: segments grow with the texts, so rows as the square of the texts."""
+    r = np.random.default_rng(3)
+    rows = [(k, " ".join(f"w{x}" for x in r.integers(0, 5000, 10_000))) for k in range(60)]  # 3.4 MB
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(path := str(tmp_path / "texts"))
+    sc = spark.sparkContext
+    store = sc._jsc.sc().statusStore()
+
+    def sent():
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = store.stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+        return {stages.apply(k).stageId(): stages.apply(k).shuffleWriteRecords() for k in range(stages.size())}
+
+    before = sent()
+    assert bloom_lm.score(spark.read.parquet(path), most=1000).agg(F.sum("__lm.n_words")).first()[0] == 600_000
+    # a group's n-grams to 4 segments and their levels back, the group, and a few rows of sums
+    assert sum(n for stage, n in sent().items() if stage not in before) <= 20
+
+
+def test_language_model_of_many_groups_and_without_text(docs, monkeypatch):
+    one = {r.n: r["__lm"] for r in bloom_lm.score(docs).collect()}
+    monkeypatch.setattr(bloom_lm, "GROUP", 2000)
+    sent = bloom_lm.score(docs, most=1000, keep_text=False)
+    assert sent.columns == [*(c for c in docs.columns if c != "text"), "__lm"] and bloom_lm.score(docs, keep_text=False).columns == sent.columns
+    many = {r.n: r["__lm"] for r in sent.collect()}
+    assert len(one) == len(many) and all(one[k].n_words == many[k].n_words and one[k].log2p == (many[k].log2p and pytest.approx(many[k].log2p)) for k in one)
+
+
 def test_filter_has_no_false_negatives():
     r = np.random.default_rng(4)
     keys, counts = r.integers(0, 2**63, 5000).astype(np.uint64), r.integers(1, 300, 5000)

@@ -8,9 +8,11 @@ only raise a level, and needs HASHES false bits for each.
     p(w | u) = L * min(1, c(u w) / c(u)) + (1 - L) * (c(w) + 1) / (N + V)     (without a u: the last factor)
 
 The filter is cut into segments by the n-gram's hash, each made by one task from its own keys and sized by them, so that
-it grows with the corpus at BITS bits per entry and no segment is larger than others. A filter of at most MOST bytes is
-broadcast, and each chunk of texts probes it for its distinct n-grams. A larger one stays where its segments are: the
-chunks' distinct n-grams are sent there once, and their levels back, with the same result in one pass over the corpus.
+it grows with the corpus at BITS bits per entry and no segment is larger than others. A filter has at most about as many bytes
+as the texts, as an entry takes one and a word gives two n-grams. Where the texts have at most MOST bytes it is broadcast, and each
+chunk of texts probes it for its distinct n-grams. Else the filter stays where its segments are: groups of texts send their distinct
+n-grams there once, with their counts, from which the segments are made; these then send the levels back, with the same result.
+There is a row for each group and segment, so that the work per row is small beside that per n-gram, at any number of segments.
 
 Defined results: words are lower-cased; null, empty and wordless texts have 0 words and a null score; null
 doc_ids, repeated rows and further columns stay as they are; if a column is called __lm, the struct takes
@@ -31,11 +33,13 @@ from pyspark.sql import types as T
 
 from . import flat
 from .near import packed, unpacked
-from .shared import free, tune, written
+from .shared import free, swept, tune, written
 
 BITS, HASHES, MIX, MOST = 8, 5, 0.7, 128 << 20
-#: Entries that a task counts before it sends them on; bytes of text whose n-grams are looked up together where the filter isn't broadcast.
-HELD, SENT = 3_000_000, 256 << 10
+#: Entries that a task counts before it sends them on; bytes of text that make a group where the filter isn't broadcast.
+HELD, GROUP = 3_000_000, 8 << 20
+#: Row groups of few rows, as one row is a group of texts and writer and reader hold a whole row group.
+ROWS_OF_GROUPS = {"parquet.block.size": str(16 << 20), "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1"}
 _PAIR = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -116,9 +120,9 @@ def assemble(rows: list[tuple[int, int, bytes]], buckets: int) -> Filter:
     return Filter(np.frombuffer(b"".join(r[2] for r in rows), np.uint8), first, bits)
 
 
-def bucket_of(keys: np.ndarray, segments: int) -> np.ndarray:
-    """2 s for unigrams and 2 s + 1 for bigrams of segment s."""
-    return (flat.mix(keys) % np.uint64(segments) << np.uint64(1) | keys & np.uint64(1)).astype(np.int32)
+def home_of(keys: np.ndarray, segments: int) -> np.ndarray:
+    """Segment of each n-gram; it grows with the key, so that sorted keys are sorted by segment."""
+    return ((keys >> np.uint64(32)) * np.uint64(segments) >> np.uint64(32)).astype(np.int32)
 
 
 @dataclass(frozen=True)
@@ -137,17 +141,13 @@ class Grams:
         inner[first[1:][first[1:] > 0] - 1] = False
         return Grams(flat.word_hash(data, starts, ends), first, np.flatnonzero(inner))
 
-    def distinct(self, segments: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(keys, buckets) of the distinct n-grams in an order that depends on nothing else; and which of them each word and each bigram is."""
-        one, which_one = np.unique(word_key(self.words), return_inverse=True)
-        two, which_two = np.unique(pair_key(self.words[self.left], self.words[self.left + 1]), return_inverse=True)
-        keys = np.concatenate([one, two])
-        return keys, bucket_of(keys, segments), which_one, len(one) + which_two
-
-    def scores(self, levels: np.ndarray, which_one: np.ndarray, which_two: np.ndarray, n: int, kinds: int) -> pa.StructArray:
-        """n_words and log2p of each document from the levels of its distinct n-grams."""
-        count = middle(levels)
-        one, two = count[which_one], count[which_two]
+    def keys(self) -> np.ndarray:
+        """Keys of all unigrams, then of all bigrams."""
+        return np.concatenate([word_key(self.words), pair_key(self.words[self.left], self.words[self.left + 1])])
+
+    def scores(self, count: np.ndarray, n: int, kinds: int) -> pa.StructArray:
+        """n_words and log2p of each document from the counts of :meth:`keys`."""
+        one, two = count[: len(self.words)], count[len(self.words) :]
         base = (one + 1) / (n + kinds)
         each = np.log2(base)
         each[self.left + 1] = np.log2(MIX * np.minimum(1, two / np.maximum(one[self.left], 1)) + (1 - MIX) * base[self.left + 1])
@@ -155,170 +155,201 @@ class Grams:
         return pa.StructArray.from_arrays([pa.array(many), pa.array(flat.sums(each, self.first), mask=many == 0)], names=["n_words", "log2p"])
 
 
+COUNTED = "home int, number long, data binary"
+
+
+def counted(keys: np.ndarray, segments: int, number: int) -> pa.RecordBatch:
+    """A row for each segment that has some of these n-grams: the distinct ones in order, and their counts."""
+    keys = np.sort(keys)
+    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    counts, keys = np.diff(np.append(at, len(keys))).astype(np.int32), keys[at]
+    homes, cut = np.unique(home_of(keys, segments), return_index=True)
+    cut = [*cut.tolist(), len(keys)]
+    blobs = [packed([keys[a:b], counts[a:b]]) for a, b in zip(cut, cut[1:])]
+    return pa.record_batch([pa.array(homes), pa.array([number] * len(homes), pa.int64()), pa.array(blobs, pa.binary())], names=["home", "number", "data"])
+
+
 def _count(segments: int):
-    """Rows (bucket, blob): counted n-grams of one bucket."""
+    """Rows COUNTED of all texts; the number has no meaning."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         total = 0
-
-        def rows() -> pa.RecordBatch:
-            keys = np.sort(np.concatenate(held))
-            at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-            counts, keys = np.diff(np.append(at, len(keys))).astype(np.int32), keys[at]
-            buckets = bucket_of(keys, segments)
-            order = np.argsort(buckets, kind="stable")
-            keys, counts, buckets = keys[order], counts[order], buckets[order]
-            ids, cut = np.unique(buckets, return_index=True)
-            cut = [*cut.tolist(), len(keys)]
-            blobs = [packed([keys[a:b], counts[a:b]]) for a, b in zip(cut, cut[1:])]
-            return pa.record_batch([pa.array(ids), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
-
         for batch in flat.chunks(batches):
-            g = Grams.of(batch.column("text"))
-            if not len(g.words):
+            keys = Grams.of(batch.column("text")).keys()
+            if not len(keys):
                 continue
-            held += [word_key(g.words), pair_key(g.words[g.left], g.words[g.left + 1])]
-            total += len(g.words) + len(g.left)
+            held.append(keys)
+            total += len(keys)
             if total > HELD:
-                yield rows()
+                yield counted(np.concatenate(held), segments, 0)
                 held, total = [], 0
         if held:
-            yield rows()
+            yield counted(np.concatenate(held), segments, 0)
 
     return run
 
 
-def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, bits, filter, n, kinds) of each bucket of this partition."""
-    parts: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-    for batch in batches:
-        for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob")):
-            parts.setdefault(bucket, []).append(tuple(unpacked(memoryview(blob.as_buffer()), ("u8", "i4"))))
-    for bucket in sorted(parts):
-        own = parts.pop(bucket)
-        keys, counts = np.concatenate([p[0] for p in own]), np.concatenate([p[1] for p in own])
+@dataclass(frozen=True)
+class Home:
+    """The n-grams of a segment with their counts in the corpus; and of each group that has some of them the number and, in its order, their places."""
+
+    home: int
+    keys: np.ndarray
+    counts: np.ndarray
+    groups: list[tuple[int, np.ndarray]]
+
+    @staticmethod
+    def of(home: int, numbers: list[int], blobs: list[bytes]) -> Home:
+        parts = [unpacked(memoryview(x), ("u8", "i4")) for x in blobs]
+        keys = np.concatenate([p[0] for p in parts])
         order = np.argsort(keys)
-        keys, counts = keys[order], counts[order]
-        at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        counts = np.add.reduceat(counts.astype(np.int64), at)
-        bits, blob = segment(keys[at], counts)
-        yield pa.record_batch([pa.array([bucket], pa.int32()), pa.array([bits]), pa.array([blob], pa.binary()), pa.array([int(counts.sum())]), pa.array([len(at)])], names=["bucket", "bits", "filter", "n", "kinds"])
+        keys = keys[order]
+        new = np.concatenate([[True], keys[1:] != keys[:-1]])
+        counts = np.add.reduceat(np.concatenate([p[1] for p in parts])[order].astype(np.int64), np.flatnonzero(new))
+        places = np.empty(len(keys), np.int64)
+        places[order] = np.cumsum(new) - 1
+        return Home(home, keys[new], counts, list(zip(numbers, np.split(places, np.cumsum([len(p[0]) for p in parts])[:-1]))))
+
+    def unigrams(self) -> tuple[int, int]:
+        """(number of words, of different ones)."""
+        own = self.keys & np.uint64(1) == 0
+        return int(self.counts[own].sum()), int(own.sum())
+
+
+def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[Home]:
+    """Segments, one after another, of rows COUNTED that are sorted by home."""
+    at, numbers, blobs = None, [], []
+    for batch in batches:
+        for home, number, blob in zip(batch.column("home").to_pylist(), batch.column("number").to_pylist(), batch.column("data").to_pylist()):
+            if home != at and blobs:
+                yield Home.of(at, numbers, blobs)
+                numbers, blobs = [], []
+            at = home
+            numbers.append(number)
+            blobs.append(blob)
+    if blobs:
+        yield Home.of(at, numbers, blobs)
     flat.release()
 
 
-def filters(docs: DataFrame) -> tuple[DataFrame, int]:
-    """(written rows of :func:`_build`, number of segments) of the whole corpus."""
-    spark = docs.sparkSession
-    tune(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    segments = 4 * parts
-    counted = docs.select(F.lower("text").alias("text")).mapInArrow(_count(segments), "bucket int, blob binary")
-    return written(counted.repartition(parts, "bucket").mapInArrow(_build, "bucket int, bits long, filter binary, n long, kinds long"), "lm-filters"), segments
+def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (home, bits, filter, n, kinds) of each segment of this partition."""
+    for x in homes(batches):
+        bits, blob = segment(x.keys, x.counts)
+        n, kinds = x.unigrams()
+        yield pa.record_batch([pa.array([x.home], pa.int32()), pa.array([bits]), pa.array([blob], pa.binary()), pa.array([n]), pa.array([kinds])], names=["home", "bits", "filter", "n", "kinds"])
+
+
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (home, number, data, n, kinds): levels of each group's n-grams of a segment; n and kinds of the segment in its first row only."""
+    for x in homes(batches):
+        bits, blob = segment(x.keys, x.counts)
+        levels = assemble([(0, bits, blob)], 1).levels(x.keys, np.zeros(len(x.keys), np.int64)).astype(np.uint8)
+        more = [0] * (len(x.groups) - 1)
+        n, kinds = x.unigrams()
+        columns = [pa.array([x.home] * len(x.groups), pa.int32()), pa.array([g for g, _ in x.groups], pa.int64()), pa.array([levels[at].tobytes() for _, at in x.groups], pa.binary()), pa.array([n, *more]), pa.array([kinds, *more])]
+        yield pa.record_batch(columns, names=["home", "number", "data", "n", "kinds"])
+
+
+def by_home(rows: DataFrame, segments: int) -> DataFrame:
+    """A segment for each partition."""
+    return rows.repartitionById(segments, "home").sortWithinPartitions("home")
+
+
+def filters(docs: DataFrame, segments: int) -> DataFrame:
+    """Written rows of :func:`_build` of the whole corpus."""
+    with swept(docs.sparkSession):
+        rows = docs.select(F.lower("text").alias("text")).mapInArrow(_count(segments), COUNTED)
+        return written(by_home(rows, segments).mapInArrow(_build, "home int, bits long, filter binary, n long, kinds long"), "lm-filters")
+
+
+def totals(rows: DataFrame) -> tuple[int, int]:
+    """(n, kinds) of the corpus."""
+    return tuple(x or 0 for x in rows.agg(F.sum("n"), F.sum("kinds")).first())
 
 
 KIND = T.StructType().add("n_words", "long").add("log2p", "double")
 
 
-def broadcast_scores(docs: DataFrame, rows: DataFrame, segments: int, n: int, kinds: int, lower: str, own: str) -> DataFrame:
-    """docs (with lower-cased texts as their last column) scored with the whole filter in each worker."""
+def broadcast_scores(docs: DataFrame, texts: DataFrame, segments: int, lower: str, own: str) -> DataFrame:
+    """texts (docs with lower-cased texts as their last column) scored with the whole filter in each worker."""
     spark = docs.sparkSession
-    got = [(r.bucket, r.bits, bytes(r.filter)) for r in rows.select("bucket", "bits", "filter").toLocalIterator()]
-    shared = spark.sparkContext.broadcast(assemble(sorted(got), 2 * segments))
+    rows = filters(docs, segments)
+    n, kinds = totals(rows)
+    got = [(r.home, r.bits, bytes(r.filter)) for r in rows.select("home", "bits", "filter").toLocalIterator()]
+    shared = spark.sparkContext.broadcast(assemble(sorted(got), segments))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in flat.chunks(batches, lower):
             g = Grams.of(batch.column(lower))
-            keys, buckets, one, two = g.distinct(segments)
-            scores = g.scores(shared.value.levels(keys, buckets), one, two, n, kinds)
-            yield pa.record_batch([*batch.columns[:-1], scores], names=[*batch.schema.names[:-1], own])
+            keys, which = np.unique(g.keys(), return_inverse=True)
+            count = middle(shared.value.levels(keys, home_of(keys, segments)))[which]
+            yield pa.record_batch([*batch.columns[:-1], g.scores(count, n, kinds)], names=[*batch.schema.names[:-1], own])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields[:-1], T.StructField(own, KIND)]))
+    return texts.mapInArrow(run, T.StructType([*texts.schema.fields[:-1], T.StructField(own, KIND)]))
 
 
-def sent_scores(docs: DataFrame, rows: DataFrame, segments: int, n: int, kinds: int, lower: str, own: str) -> DataFrame:
-    """The same where the filter is too large to broadcast: chunks send their distinct n-grams to the segments, which send the levels back.
+def sent_scores(texts: DataFrame, segments: int, lower: str, own: str) -> DataFrame:
+    """The same where the filter may be too large to broadcast: groups send their distinct n-grams to the segments, which send the levels back.
 
-    Chunks are written once under numbers of their own, so that a task that runs again finds the same ones."""
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    Groups are written once, compressed, under numbers of their own, so that a task that runs again finds the same ones."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
-        for batch in flat.chunks(batches, lower, most=SENT):
+        for batch in flat.chunks(batches, lower, most=GROUP):
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, batch.schema) as out:
+            with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
                 out.write_batch(batch)
-            yield pa.record_batch([pa.array([number]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "data"])
+            yield pa.record_batch([pa.array([number]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["number", "data"])
             number += 1
 
-    def opened(blob: pa.Scalar) -> pa.RecordBatch:
-        return pa.ipc.open_stream(blob.as_buffer()).read_next_batch()
-
-    def split(buckets: np.ndarray) -> list[tuple[int, np.ndarray]]:
-        """(partition of segments, places of its n-grams)."""
-        home = buckets // 2 % parts
-        order = np.argsort(home, kind="stable")
-        ids, at = np.unique(home[order], return_index=True)
-        return list(zip(ids.tolist(), np.split(order, at[1:])))
+    def opened(blob: pa.Scalar) -> list[pa.RecordBatch]:
+        """A group's texts in chunks."""
+        return list(flat.chunks(iter([pa.ipc.open_stream(blob.as_buffer()).read_next_batch()]), lower))
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk, blob in zip(batch.column("chunk").to_pylist(), batch.column("data")):
-                keys, buckets, _, _ = Grams.of(opened(blob).column(lower)).distinct(segments)
-                homes = split(buckets)
-                yield pa.record_batch([pa.array([h for h, _ in homes], pa.int32()), pa.array([chunk] * len(homes), pa.int64()), pa.array([packed([keys[at], buckets[at]]) for _, at in homes], pa.binary())], names=["home", "chunk", "data"])
-
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of each home first the filters, then the questions."""
-        got: list[tuple[int, int, bytes]] = []
-        at, known = None, None
-        for batch in batches:
-            out = []
-            for home, number, bits, blob in zip(batch.column("home").to_pylist(), batch.column("number").to_pylist(), batch.column("bits").to_pylist(), batch.column("data")):
-                if home != at:
-                    got, at, known = [], home, None
-                if bits is not None:
-                    got.append((number, bits, blob.as_py()))
-                    continue
-                if known is None:
-                    known, got = assemble(got, 2 * segments), []
-                keys, buckets = unpacked(memoryview(blob.as_buffer()), ("u8", "i4"))
-                out.append((number, home, known.levels(keys, buckets).astype(np.uint8).tobytes()))
-            if out:
-                yield pa.record_batch([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.binary())], names=["chunk", "home", "data"])
+            for number, blob in zip(batch.column("number").to_pylist(), batch.column("data")):
+                keys = np.concatenate([Grams.of(chunk.column(lower)).keys() for chunk in opened(blob)])
+                if len(keys):
+                    yield counted(keys, segments, number)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """First the answers to a chunk, then the chunk."""
-        levels: dict[int, bytes] = {}
+        """First the answers to a group by their segments, which is the order of its distinct n-grams, then the group."""
+        levels: list[bytes] = []
         for batch in batches:
             for home, blob in zip(batch.column("home").to_pylist(), batch.column("data")):
                 if home is not None:
-                    levels[home] = blob.as_py()
+                    levels.append(blob.as_py())
                     continue
-                chunk = opened(blob)
-                g = Grams.of(chunk.column(lower))
-                keys, buckets, one, two = g.distinct(segments)
-                found = np.zeros(len(keys), np.int64)
-                for h, at in split(buckets):
-                    found[at] = np.frombuffer(levels[h], np.uint8)
+                chunks = opened(blob)
+                grams = [Grams.of(chunk.column(lower)) for chunk in chunks]
+                keys = [g.keys() for g in grams]
+                ends = np.cumsum([len(k) for k in keys])
+                _, which = np.unique(np.concatenate(keys), return_inverse=True)
+                count = middle(np.frombuffer(b"".join(levels), np.uint8).astype(np.int64))
                 levels.clear()
-                yield pa.record_batch([*chunk.columns[:-1], g.scores(found, one, two, n, kinds)], names=[*chunk.schema.names[:-1], own])
-
-    chunks = written(docs.mapInArrow(cut, "chunk long, data binary"), "lm-chunks")
-    ask = chunks.mapInArrow(asked, "home int, chunk long, data binary").select("home", F.col("chunk").alias("number"), F.lit(None).cast("long").alias("bits"), "data")
-    have = rows.select((F.floor(F.col("bucket") / 2) % parts).cast("int").alias("home"), F.col("bucket").cast("long").alias("number"), "bits", F.col("filter").alias("data"))
-    met = have.union(ask).withColumn("late", F.col("bits").isNull()).repartition(parts, "home").sortWithinPartitions("home", "late").drop("late")
-    answers = met.mapInArrow(answer, "chunk long, home int, data binary")
-    back = answers.union(chunks.select("chunk", F.lit(None).cast("int").alias("home"), "data"))
-    back = back.withColumn("late", F.col("home").isNull()).repartition(parts, "chunk").sortWithinPartitions("chunk", "late")
-    return back.drop("late").mapInArrow(finish, T.StructType([*docs.schema.fields[:-1], T.StructField(own, KIND)]))
-
-
-def score(docs: DataFrame, most: int = MOST) -> DataFrame:
-    """All columns of docs with struct ``__lm`` of n_words and log2p, the sum over the words."""
-    rows, segments = filters(docs)
-    size, n, kinds = rows.agg(F.sum(F.length("filter")), F.sum(F.when(F.col("bucket") % 2 == 0, F.col("n"))), F.sum(F.when(F.col("bucket") % 2 == 0, F.col("kinds")))).first()
+                for chunk, g, own_which in zip(chunks, grams, np.split(which, ends[:-1])):
+                    yield pa.record_batch([*chunk.columns[:-1], g.scores(count[own_which], n, kinds)], names=[*chunk.schema.names[:-1], own])
+
+    groups = written(texts.mapInArrow(cut, "number long, data binary"), "lm-groups", ROWS_OF_GROUPS)
+    with swept(texts.sparkSession):
+        answers = written(by_home(groups.mapInArrow(asked, COUNTED), segments).mapInArrow(_answer, COUNTED + ", n long, kinds long"), "lm-levels")
+    n, kinds = totals(answers)
+    back = answers.select("number", "home", "data").union(groups.select("number", F.lit(None).cast("int").alias("home"), "data"))
+    back = back.repartition(segments, "number").sortWithinPartitions("number", F.col("home").asc_nulls_last())
+    return back.mapInArrow(finish, T.StructType([*texts.schema.fields[:-1], T.StructField(own, KIND)]))
+
+
+def score(docs: DataFrame, most: int = MOST, keep_text: bool = True) -> DataFrame:
+    """All columns of docs (without the text unless it is kept) with struct ``__lm`` of n_words and log2p, the sum over the words."""
+    spark = docs.sparkSession
+    tune(spark)
+    segments = int(spark.conf.get("spark.sql.shuffle.partitions"))
     lower, own = free(docs.columns, "__lower", "__lm")
     texts = docs.withColumn(lower, F.lower("text"))
-    return (broadcast_scores if (size or 0) <= most else sent_scores)(texts, rows, segments, n or 0, kinds or 0, lower, own)
+    if not keep_text:
+        texts = texts.drop("text")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return broadcast_scores(docs, texts, segments, lower, own) if size <= most else sent_scores(texts, segments, lower, own)

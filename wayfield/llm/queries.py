@@ -36,7 +36,7 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words and log2 probability of each document under the corpus's own bigram model."""
-    docs = bloom_lm.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = bloom_lm.score(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
     per_word = F.when(F.col("__lm.n_words") > 0, F.round(F.col("__lm.log2p") / F.col("__lm.n_words"), 6))
     return docs.select("doc_id", "__lm.n_words", per_word.alias("log2p_per_word"))
 
