@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+import time
 
 import numpy as np
 import pytest
@@ -330,3 +331,51 @@ def test_transfer_is_resampled_and_permuted(spark):
     got = {r.held: r for r in studies.resampled_taus(rows, 100, 60).collect()}
     assert (got["b"].tau, got["b"].lo, got["b"].hi) == (1.0, 1.0, 1.0) and got["b"].permutation_p < 0.1
     assert (got["c"].tau, got["c"].hi) == (-1.0, -1.0) and got["c"].permutation_p == 1.0
+
+
+def test_slices_hold_every_step_of_a_large_task(spark, tmp_path):
+    """3,200 steps of one task, more than the node cap of FIL3: all are numbered, and all have neighbours."""
+    from wayfield.plans import registry
+    from wayfield.plans.adapters import slices
+
+    rows = spark.range(3200).selectExpr("id as event_id", "timestamp_seconds(id) as ts", "id % 15 as user_id", "element_at(array('click', 'error', 'view'), cast(id % 3 + 1 as int)) as event_type", "cast(id % 7 as double) as value", "concat('{\"k\": ', id % 100, '}') as props")
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    assert slices(spark, str(tmp_path)).count() == 3200
+    for name in ("sim4_knn", "sim4_knn_relational"):
+        assert registry.QUERIES[name](spark, str(tmp_path)).select("i").distinct().count() == 3200
+    assert registry.QUERIES["gra12_model_graphs"](spark, str(tmp_path)).agg(F.sum("n")).first()[0] == 3200
+
+
+def test_key_sets_dealt_out_find_the_same_neighbours(spark):
+    r = np.random.default_rng(5)
+    rows = [(t, k, sorted(set(r.choice(list("abcdefghij"), r.integers(0, 5)).tolist()))) for t in range(3) for k in range(12 * t + 1)]
+    s = spark.createDataFrame(rows, "task_id long, slice long, keys array<string>")
+    a, b = (sorted(map(tuple, df.collect())) for df in (Y.nearest(s, 4), Y.nearest_in_parts(s, 4, 5)))
+    assert a == b and len({(x[0], x[1]) for x in a}) == 13 + 25
+
+
+def test_many_equal_key_sets_take_no_square_of_work():
+    began = time.process_time()
+    i, _, j, d = Y.neighbours_of([["a"]] * 60_000 + [["b"]], 3)
+    assert time.process_time() - began < 10 and len(i) == 3 * 60_001 and j[:9].tolist() == [1, 2, 3, 0, 2, 3, 0, 1, 3] and d[0] == 0
+
+
+def test_graph_of_steps_is_that_of_mutual_neighbours(spark):
+    r = np.random.default_rng(6)
+    rows = [(t, k, int(k % 3), sorted(set(r.choice(list("abcdefghij"), r.integers(1, 5)).tolist()))) for t in range(3) for k in range(20 * t + 1)]
+    s = spark.createDataFrame(rows, "task_id long, slice long, run_id long, keys array<string>")
+    got = lambda df: {(x.task_id, x.source, x.target): (x.distance, x.weight) for x in df.collect()}
+    knn = {(x.task_id, x.i, x.j): x.distance for x in Y.nearest(s, 4).collect()}
+    want = {(t, i, j): round(min(d, knn[t, j, i]), 6) for (t, i, j), d in knn.items() if i < j and (t, j, i) in knn}
+    assert {e: v[0] for e, v in got(Y.mutual_edges(Y.nearest(s, 4))).items()} == want and got(Y.step_graph(s, 4)) == got(Y.mutual_edges(Y.nearest(s, 4)))
+    assert got(Y.step_graph(s, 4, across="run_id")) == {e: v for e, v in got(Y.step_graph(s, 4)).items() if e[1] % 3 != e[2] % 3}
+
+
+def test_mutual_edges_and_components_send_nothing_to_the_driver(spark, monkeypatch):
+    """Neither joins a kernel's output, which planners take for small, nor writes rounds of labels."""
+    monkeypatch.setattr(G, "kept", None)
+    s = spark.createDataFrame([(1, k, ["a", f"b{k % 3}"]) for k in range(9)], "task_id long, slice long, keys array<string>")
+    edges = Y.mutual_edges(Y.nearest(s, 2))
+    for df in (edges, G.components(edges.select("task_id", F.col("source").alias("node")).union(edges.select("task_id", "target")), edges.select("task_id", F.col("source").alias("a"), F.col("target").alias("b")))):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan and "Join" not in plan and df.count()

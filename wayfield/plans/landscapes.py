@@ -96,19 +96,19 @@ def win11_average_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def gra2_articulation_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The articulation points of the real step graph; tests hold it against removal of each node."""
-    blocks = G.blocks_of(Y.mutual_edges(Y.nearest(slices(spark, sf_dir))))
+    blocks = G.blocks_of(Y.step_graph(slices(spark, sf_dir)))
     return blocks.where("is_cut").select("task_id", "node").distinct()
 
 
 @query()
 def gra3_biconnected_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """GRA3 and FIL4: blocks of the real step graph, with those of two nodes marked as trivial."""
-    return G.blocks_of(Y.mutual_edges(Y.nearest(slices(spark, sf_dir)))).withColumn("is_trivial", F.col("n_nodes") == 2)
+    return G.blocks_of(Y.step_graph(slices(spark, sf_dir))).withColumn("is_trivial", F.col("n_nodes") == 2)
 
 
 @query()
 def gra4_block_cut_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.block_cut_tree(G.blocks_of(Y.mutual_edges(Y.nearest(slices(spark, sf_dir)))))
+    return G.block_cut_tree(G.blocks_of(Y.step_graph(slices(spark, sf_dir))))
 
 
 @query(PRELUDE + "SELECT task_id, a AS node, string_agg(b, ',' ORDER BY b) AS neighbours FROM both_ways GROUP BY ALL")
@@ -132,7 +132,7 @@ def gra6_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gra8_task_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Real task graphs: block statistics and roles over the blocks of the step graph."""
     s = slices(spark, sf_dir)
-    blocks = G.kept(G.blocks_of(Y.mutual_edges(Y.nearest(s))).where("n_nodes > 2"), "task-blocks")
+    blocks = G.kept(G.blocks_of(Y.step_graph(s)).where("n_nodes > 2"), "task-blocks")
     members = blocks.select("task_id", "block_id", F.col("node").alias("slice"), F.col("is_cut").alias("articulation")).join(s, ["task_id", "slice"])
     return G.with_roles(G.block_table(members, A.runs_of(s)), s)
 
@@ -193,10 +193,10 @@ def gra12_model_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     # one group for each (task, model): its number stands for the task's
     s = s.withColumn("number", F.col("task_id") * 1000 + F.substring("model_id", 2, 9).cast("long"))
     groups = s.select("number", "task_id", "model_id", "n").distinct()
-    edges = G.kept(Y.mutual_edges(Y.nearest(s.select(F.col("number").alias("task_id"), "slice", "keys"))), "model-edges")
-    ends = edges.select("task_id", F.col("source").alias("node")).union(edges.select("task_id", "target")).distinct()
+    edges = G.kept(Y.step_graph(s.select(F.col("number").alias("task_id"), "slice", "keys")), "model-edges")
+    ends = edges.select("task_id", F.explode(F.array("source", "target")).alias("node"))
     roots = G.components(ends, edges.select("task_id", F.col("source").alias("a"), F.col("target").alias("b")))
-    parts = roots.groupBy(F.col("task_id").alias("number")).agg(F.countDistinct("root").alias("components"))
+    parts = roots.where("node = root").groupBy(F.col("task_id").alias("number")).agg(F.count(F.lit(1)).alias("components"))
     m = edges.groupBy(F.col("task_id").alias("number")).agg(F.count(F.lit(1)).alias("m")).where("m >= 2")
     density, degree = 2 * F.col("m") / (F.col("n") * (F.col("n") - 1)), 2 * F.col("m") / F.col("n")
     return groups.join(m, "number").join(parts, "number").select("task_id", "model_id", "n", "m", "components", F.round(density, 6).alias("density"), F.round(degree, 4).alias("mean_degree"))
