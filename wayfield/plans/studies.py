@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -230,7 +231,7 @@ def sta11_supply_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     cell = E.long_events(land.events).groupBy("task_id", "model_id", "event").agg(F.avg("x").alias("m"))
     above = G.kept(cell.select("task_id", "model_id", "event", (F.col("m") - F.avg("m").over(Window.partitionBy("task_id", "event"))).alias("d")), "supply-cells")
     units = land.runs.select("task_id").distinct().withColumn("all", F.lit(0))
-    means = X.resampled(units, ["all"], ["task_id"], 2000).join(above, "task_id").groupBy("model_id", "event", "rep").agg(F.avg("d").alias("s"))
+    means = X.resampled(units, ["all"], ["task_id"], 2000).join(above.hint("merge"), "task_id").groupBy("model_id", "event", "rep").agg(F.avg("d").alias("s"))
     out = X.interval(means, ["model_id", "event"], "s", 2000)
     return out.select("model_id", "event", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"), "n_replicates")
 
@@ -253,14 +254,22 @@ SELECT benchmark, event, round(xs[len(xs) // 2 + 1], 6) AS median, round(xs[floo
 def sta12_demand_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two thousand resamples of each benchmark's rollouts: what it demands of each event; a rollout without the event is left out of it."""
     rows = G.kept(Landscape(spark, sf_dir).events.select("benchmark", "run_id", "resolved", *E.EVENTS), "rollouts")
-    y = F.col("resolved")
-
-    def demand(event: str):
-        x, has = F.col(event), F.col(event).isNotNull()
-        good, bad = F.sum(F.when(has, y)), F.sum(F.when(has, 1 - y))
-        return F.when((good > 0) & (bad > 0), F.sum(y * x) / good - F.sum((1 - y) * x) / bad)
-
-    drawn = X.resampled(rows, ["benchmark"], ["run_id"], 2000).groupBy("benchmark", "rep").agg(*[demand(e).alias(e) for e in E.EVENTS])
+    names = [f"{what}_{e}" for e in E.EVENTS for what in ("good", "bad", "hit", "miss")]
+
+    def terms(own: dict) -> dict:
+        y, out = own["resolved"].astype(float), {}
+        for e in E.EVENTS:
+            x = own[e].astype(float)
+            has = ~np.isnan(x)
+            x = np.where(has, x, 0.0)
+            out |= {f"good_{e}": has * y, f"bad_{e}": has * (1 - y), f"hit_{e}": y * x, f"miss_{e}": (1 - y) * x}
+        return out
+
+    def demand(e: str):
+        good, bad, hit, miss = (F.col(f"{what}_{e}") for what in ("good", "bad", "hit", "miss"))
+        return F.when((good > 0) & (bad > 0), hit / good - miss / bad)
+
+    drawn = X.resampled_sums(rows, ["benchmark"], ["run_id"], ["resolved", *E.EVENTS], 2000, terms, names).select("benchmark", "rep", *[demand(e).alias(e) for e in E.EVENTS])
     d = drawn.select("benchmark", F.inline(F.array(*[F.struct(F.lit(e).alias("event"), F.col(e).alias("v")) for e in E.EVENTS]))).where("v is not null")
     return X.interval(d, ["benchmark", "event"], "v", 2000).select("benchmark", "event", F.round("mid", 6).alias("median"), F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"), "n_replicates")
 
