@@ -129,12 +129,9 @@ SELECT round(xs[251], 6) AS lo, round(xs[5001], 6) AS mid, round(xs[9751], 6) AS
 )
 def sta15_paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten thousand resamples of all instances."""
-    d = paired(spark, sf_dir).select("instance", (F.col("hot") - F.col("base")).alias("d"), F.lit(0).alias("all"))
-    n = d.groupBy("all").agg(F.count(F.lit(1)).alias("n"))
-    numbered = d.withColumn("i", F.row_number().over(Window.partitionBy("all").orderBy("instance")).cast("long") - 1)
-    slots = n.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(9_999)))).withColumn("slot", F.explode(F.expr("sequence(0L, n - 1)")))
-    drawn = slots.select("rep", (X.draw(F.lit(7), "rep", "slot") % F.col("n")).alias("i"))
-    means = drawn.join(numbered, "i").groupBy("rep").agg(F.avg("d").alias("m"))
+    d = paired(spark, sf_dir).select("instance", (F.col("hot") - F.col("base")).cast("tinyint").alias("d"))
+    sums = X.resampled_sums(d, [], ["instance"], ["d"], 10_000, lambda own: {"total": own["d"]}, ["total"])
+    means = sums.select("rep", (F.col("total") / F.col("n")).alias("m"))
     out = X.interval(means.withColumn("all", F.lit(0)), ["all"], "m", 10_000)
     return out.select(F.round("lo", 6).alias("lo"), F.round("mid", 6).alias("mid"), F.round("hi", 6).alias("hi"), "n_replicates")
 
