@@ -12,6 +12,8 @@ from .register import query
 
 #: Pairs of a full join that one task makes.
 PAIRS = 4_000_000
+#: Vectors of a block, and cells of a slab of the product of two blocks.
+BLOCK, CELLS = 32_768, 4_000_000
 
 
 @query("SELECT r_name, c_mktsegment, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL")
@@ -186,12 +188,16 @@ knn AS (SELECT i, rank, j, d, li, lj FROM (SELECT a.vec_id AS i, b.vec_id AS j,
 
 
 def vector_neighbours(spark: SparkSession, sf_dir: str, k: int = 6) -> DataFrame:
-    """Exact cosine neighbours of dense vectors: blocks of vectors meet blocks, and each pair of blocks is one matrix product."""
+    """Exact cosine neighbours of dense vectors: blocks of about BLOCK vectors, or fewer, meet blocks, and each pair of blocks is multiplied in slabs of rows.
+
+    The number of blocks follows that of the vectors, so a pair of blocks has a fixed size; only the k best of each row and pair leave it."""
     import numpy as np
     import pyarrow as pa
 
-    side = 16
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.pmod("vec_id", F.lit(side)).cast("int").alias("block"))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    many = e.count()
+    side = max(1, -(-many // BLOCK), min(12, -(-4 * many // BLOCK)))  # smaller blocks while these are few
+    e = e.withColumn("block", F.pmod("vec_id", F.lit(side)).cast("int"))
     left = e.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(side - 1)))).select("block", "other", "vec_id", "embedding")
     right = e.select(F.col("block").alias("other"), F.explode(F.sequence(F.lit(0), F.lit(side - 1))).alias("block"), "vec_id", "embedding")
 
@@ -202,13 +208,25 @@ def vector_neighbours(spark: SparkSession, sf_dir: str, k: int = 6) -> DataFrame
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         if not a.num_rows or not b.num_rows:
             return pa.table({"i": pa.array([], pa.int64()), "j": pa.array([], pa.int64()), "d": pa.array([], pa.float64())})
-        d = np.round(1 - matrix(a) @ matrix(b).T, 6)
-        i, j = np.asarray(a["vec_id"]), np.asarray(b["vec_id"])
-        d[i[:, None] == j[None, :]] = np.inf
-        best = np.stack([np.lexsort((j, row))[:k] for row in d])
-        rows = np.repeat(np.arange(len(i)), best.shape[1])
-        keep = np.isfinite(d[rows, best.ravel()])
-        return pa.table({"i": i[rows][keep], "j": j[best.ravel()][keep], "d": d[rows, best.ravel()][keep]})
+        b = b.sort_by("vec_id")
+        x, y, i, j = matrix(a), matrix(b).T.copy(), np.asarray(a["vec_id"]), np.asarray(b["vec_id"])
+        lost = np.isnan(y).any() or np.isnan(x).any()
+        most = min(k + 1, len(j))  # with the vector itself
+        out = []
+        for at in range(0, len(i), slab := max(1, CELLS // len(j))):
+            near = x[at : at + slab] @ y
+            near[i[at : at + slab, None] == j[None, :]] = -np.inf
+            if lost:
+                near[np.isnan(near)] = -np.inf
+            # all that may be as near as the k-th when rounded; then by distance and number
+            least = np.partition(near, len(j) - most, axis=1)[:, len(j) - most] - 2e-6
+            row, col = np.nonzero(near >= least[:, None])
+            d = np.round(1 - near[row, col], 6)
+            order = np.lexsort((col, d, row))
+            row, col, d = row[order], col[order], d[order]
+            keep = (np.arange(len(row)) - np.searchsorted(row, row) < k) & np.isfinite(d)
+            out.append((i[at + row[keep]], j[col[keep]], d[keep]))
+        return pa.table(dict(zip("ijd", (np.concatenate(c) for c in zip(*out)))))
 
     found = left.groupBy("block", "other").cogroup(right.groupBy("block", "other")).applyInArrow(run, "i long, j long, d double")
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))).where(F.col("rank") <= k)
