@@ -379,3 +379,28 @@ def test_mutual_edges_and_components_send_nothing_to_the_driver(spark, monkeypat
     for df in (edges, G.components(edges.select("task_id", F.col("source").alias("node")).union(edges.select("task_id", "target")), edges.select("task_id", F.col("source").alias("a"), F.col("target").alias("b")))):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "Broadcast" not in plan and "Join" not in plan and df.count()
+
+
+def test_primary_blocks_and_shared_steps_join_no_members(spark):
+    """``members`` compresses well, so planners took it for small and broadcast it: neither function gives them a join that could."""
+    rows = [(1, r, s, r % 2, b, b == 3) for r in range(4) for s in range(3) for b in {s, 3, (r + s) % 2}]
+    m = spark.createDataFrame(rows, "task_id long, run_id long, step_idx int, resolved int, block_id long, articulation boolean")
+    stats = S.block_stats(m)
+    shared = A.shared_step_edges(m)
+    assert "Join" not in shared._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in stats._jdf.queryExecution().optimizedPlan().toString()
+    by = {}
+    for _, r, s, y, b, _ in rows:
+        by.setdefault(b, []).append((r, s, y))
+    for x in stats.collect():
+        own = by[x.block_id]
+        assert (x.n_nodes, x.n_unique_runs, x.good) == (len(own), len({r for r, _, _ in own}), len({r for r, _, y in own if y})) and x.purity == sum(y for *_, y in own) / len(own)
+        assert (x.min_pos, x.max_pos, x.temporal_span) == (min(s for _, s, _ in own), max(s for _, s, _ in own), float(np.median([s for _, s, _ in own])))
+    place = {b: (-len(v), -len({r for r, _, _ in v}), min(s for _, s, _ in v), b) for b, v in by.items()}
+    steps = {}
+    for _, r, s, _, b, _ in rows:
+        steps.setdefault((r, s), set()).add(b)
+    assert {(x.run_id, x.step_idx): x.block_id for x in S.primary_blocks(m.drop("articulation"), stats).collect()} == {k: min(v, key=place.get) for k, v in steps.items()}
+    assert {(x.a, x.b) for x in shared.collect()} == {(a, b) for v in steps.values() for a in v for b in v if a < b}
+    left = S.primary_blocks(m.drop("articulation"), stats)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftOuter" in left
