@@ -404,3 +404,14 @@ def test_primary_blocks_and_shared_steps_join_no_members(spark):
     assert {(x.a, x.b) for x in shared.collect()} == {(a, b) for v in steps.values() for a in v for b in v if a < b}
     left = S.primary_blocks(m.drop("articulation"), stats)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join LeftOuter" in left
+
+
+def test_controls_are_dealt_out_and_solve_for_the_committor_alone(spark):
+    states = ["decision_point|early|core", "weak_basin|mid|outer", M.GOOD, M.BAD]
+    rows = [(t, a, b, 0.25 if not a.startswith("EOS") else float(a == b)) for t in range(3) for a in states for b in states]
+    out = M.matched_controls(spark.createDataFrame(rows, "task_id long, si string, sj string, p double"), ["task_id"], "decision_point", "weak_basin", 5)
+    assert out.rdd.getNumPartitions() == 8 * spark.sparkContext.defaultParallelism and out.count() == 3
+    p = np.full((4, 4), 0.25)
+    p[2:] = np.eye(4)[2:]
+    both, alone = M.solve(p, states), M.solve(p, states, False)
+    assert (both[0] == alone[0]).all() and np.isnan(alone[1]).all() and not np.isnan(both[1][:2]).any()

@@ -47,8 +47,8 @@ def kernel(typed: DataFrame, by: list[str], laplace: float = CONFIG.laplace) ->
     return full.select(*by, "si", "sj", "n", "visits", p.alias("p"))
 
 
-def solve(p: np.ndarray, states: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(committor, mean first passage time to a core) by state; NaN where there is none."""
+def solve(p: np.ndarray, states: list[str], passages: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(committor, mean first passage time to a core) by state; NaN where there is none, and for passages that aren't asked for."""
     n = len(states)
     index = {s: k for k, s in enumerate(states)}
     good, bad = index.get(GOOD), index.get(BAD)
@@ -68,7 +68,7 @@ def solve(p: np.ndarray, states: list[str]) -> tuple[np.ndarray, np.ndarray]:
     if bad is not None:
         reach[bad] = 0
     core = [k for k, s in enumerate(states) if s.endswith("|core")]
-    if core:
+    if core and passages:
         free = np.array([k for k in free if k not in core], np.int64)
         passage[core] = 0
         if len(free):
@@ -189,7 +189,7 @@ def matched_controls(kernels: DataFrame, by: list[str], targets: str, blocked: s
                 q[r, to] = 0
                 total = q[r].sum()
                 q[r] = q[r] / total if total > 1e-12 else np.eye(len(states))[r]
-            return float(np.nanmean(solve(q, states)[0][watched]))
+            return float(np.nanmean(solve(q, states, False)[0][watched]))
 
         base, edited = value([]), value(own)
         rng = np.random.default_rng(seed)
@@ -201,4 +201,6 @@ def matched_controls(kernels: DataFrame, by: list[str], targets: str, blocked: s
         return pa.table({**out, "base": [base], "edited": [edited], "delta": [edited - base], "mean_control": pa.array([mean], pa.float64()), "p_value": pa.array([p_value], pa.float64())})
 
     types = dict(kernels.dtypes)
-    return kernels.select(*by, "si", "sj", "p").groupBy(*by).applyInArrow(run, ", ".join(f"{c} {types[c]}" for c in by) + ", base double, edited double, delta double, mean_control double, p_value double")
+    # a fixed number of parts: adaptive execution would merge them by their few bytes, not by the hundred solves of each group
+    dealt = kernels.select(*by, "si", "sj", "p").repartition(8 * kernels.sparkSession.sparkContext.defaultParallelism, *by)
+    return dealt.groupBy(*by).applyInArrow(run, ", ".join(f"{c} {types[c]}" for c in by) + ", base double, edited double, delta double, mean_control double, p_value double")
