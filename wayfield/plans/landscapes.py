@@ -133,7 +133,7 @@ def gra8_task_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Real task graphs: block statistics and roles over the blocks of the step graph."""
     s = slices(spark, sf_dir)
     blocks = G.kept(G.blocks_of(Y.step_graph(s)).where("n_nodes > 2"), "task-blocks")
-    members = blocks.select("task_id", "block_id", F.col("node").alias("slice"), F.col("is_cut").alias("articulation")).join(s, ["task_id", "slice"])
+    members = blocks.select("task_id", "block_id", F.col("node").alias("slice"), F.col("is_cut").alias("articulation")).hint("merge").join(s, ["task_id", "slice"])
     return G.with_roles(G.block_table(members, A.runs_of(s)), s)
 
 
